@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import mixing, quality, sharding
 
 QUERIES = {
     "op3_shard": sharding.op3_shard,
+    "op4_quality_mcd": quality.op4_quality_mcd,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 

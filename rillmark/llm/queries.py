@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import linededup, mixing, quality, sharding
 
 QUERIES = {
+    "op1_line_dedup": linededup.op1_line_dedup,
     "op3_shard": sharding.op3_shard,
     "op4_quality_mcd": quality.op4_quality_mcd,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
 ORACLES = {
+    "op1_line_dedup": linededup.ORACLE_SQL,
     "op3_shard": sharding.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, quality, sharding
+from . import decontaminate, linededup, mixing, neardup, quality, sharding
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
     "op4_quality_mcd": quality.op4_quality_mcd,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_mix_sources": mixing.op8_mix_sources,
 }
 
@@ -16,5 +17,6 @@ ORACLES = {
     "op1_line_dedup": linededup.ORACLE_SQL,
     "op2_decontaminate": decontaminate.ORACLE_SQL,
     "op3_shard": sharding.ORACLE_SQL,
+    "op7_near_duplicates": neardup.ORACLE_SQL,
     "op8_mix_sources": mixing.ORACLE_SQL,
 }

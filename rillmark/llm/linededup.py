@@ -61,6 +61,11 @@ def _held(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
 
 
+def held(bitmap: np.ndarray, digests: bytes) -> np.ndarray:
+    """Whether the filter holds each 16-byte digest."""
+    return _held(bitmap, _bits(np.frombuffer(digests, "<u8").reshape(-1, 2), len(bitmap) * 8))
+
+
 def _pack(chunk: np.ndarray) -> bytes:
     """A chunk as 16-bit places of its set bits if they are few, else as its bitmap."""
     if not chunk.any():
@@ -80,18 +85,17 @@ def _unpack(data: bytes) -> np.ndarray:
 _FILTER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
 
 
-def _filters(m: int):
+def _line_digests(text: bytes | None) -> bytes:
+    return b"".join(xxhash.xxh3_128_digest(k) for k in dict.fromkeys(_keys(text)) if k)
+
+
+def _filters(m: int, digests_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         once, twice = np.zeros(m // 8, np.uint8), np.zeros(m // 8, np.uint8)
         for batch in batches:
-            digests = b"".join(
-                xxhash.xxh3_128_digest(k) for text in batch.column(0).to_pylist() for k in dict.fromkeys(_keys(text)) if k
-            )
-            if not digests:
-                continue
-            halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+            halves = np.frombuffer(b"".join(map(digests_of, batch.column(0).to_pylist())), "<u8").reshape(-1, 2)
             order = np.argsort(halves[:, 0], kind="stable")
             halves = halves[order]
             same = np.zeros(len(halves), bool)  # an equal first half before it: at least the two are suspected
@@ -128,11 +132,19 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _FILTER, strict=True)], schema=_FILTER)
 
 
-def seen_twice(texts: DataFrame, m: int) -> np.ndarray:
-    """The merged filter of digests that more than one document may hold; at most MAX_BITS / 8 bytes."""
+def filter_bits(keys: int, max_bits: int = MAX_BITS) -> int:
+    """Bits of a filter for so many keys."""
+    m = MIN_BITS
+    while m < max_bits and m < keys * BITS_PER_LINE:
+        m *= 2
+    return m
+
+
+def seen_twice(texts: DataFrame, m: int, digests_of=_line_digests) -> np.ndarray:
+    """The merged filter, of m bits, of the 16-byte digests that `digests_of` gives more than once over all texts."""
     parts = texts.rdd.getNumPartitions()
     schema = "chunk int, part int, once binary, twice binary"
-    level = texts.mapInArrow(_filters(m), schema)
+    level = texts.mapInArrow(_filters(m, digests_of), schema)
     merged = lambda up: level.withColumn("up", up).groupBy("chunk", "up").applyInArrow(_merge, schema)
     while parts > FAN_IN:
         parts = -(-parts // FAN_IN)
@@ -157,10 +169,10 @@ def _suspects(texts: list, bitmap: np.ndarray) -> list[dict[bytes, int]]:
     flat = b"".join(d for one in found for d in one)
     if not flat:
         return found
-    held = _held(bitmap, _bits(np.frombuffer(flat, "<u8").reshape(-1, 2), len(bitmap) * 8)).tolist()
+    may = held(bitmap, flat).tolist()
     out, i = [], 0
     for one in found:
-        out.append({d: at for (d, at), h in zip(one.items(), held[i : i + len(one)], strict=True) if h})
+        out.append({d: at for (d, at), h in zip(one.items(), may[i : i + len(one)], strict=True) if h})
         i += len(one)
     return out
 
@@ -231,6 +243,13 @@ def _entry(x) -> tuple[bytes, tuple | None]:
     return bytes(key), None if row is None else (bytes(row), line)
 
 
+def ordered_id(df: DataFrame, id_col: str):
+    """The id as text in the id's order: integers by sign and sixteen hexadecimal digits, others as they are; null first."""
+    number = dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
+    digits = F.concat(F.when(F.col(id_col) < 0, "0").otherwise("1"), F.lpad(F.hex(F.col(id_col).cast("long")), 16, "0"))
+    return F.when(F.col(id_col).isNull(), F.lit("")).otherwise(digits if number else F.col(id_col).cast("string"))
+
+
 def line_dedup(
     docs: DataFrame,
     *,
@@ -252,19 +271,14 @@ def line_dedup(
         raise ValueError("min_docs is 2 at least: the filters tell repeats only")
     plain = pick(docs, id_col, text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    number = dict(plain.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
-    ordered = F.when(F.col(id_col).isNull(), F.lit("")).otherwise(
-        F.concat(F.when(F.col(id_col) < 0, "0").otherwise("1"), F.lpad(F.hex(F.col(id_col).cast("long")), 16, "0")) if number else F.col(id_col).cast("string")
-    )
+    ordered = ordered_id(plain, id_col)
     table = plain.select(
         F.col(id_col).alias("doc_id"),
-        (F.concat(ordered.cast("binary"), F.lit(b"\0"), F.unhex(F.md5(body))) if keep_first else F.unhex(F.md5(F.concat(ordered.cast("binary"), F.lit(b"\0"), body)))).alias("row"),
+        F.concat(ordered.cast("binary"), F.lit(b"\0"), F.unhex(F.md5(body))).alias("row"),
         body.alias("text"),
     )
     n_lines = table.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))).cast("long") + 1)).first()[0] or 0
-    m = MIN_BITS
-    while m < max_bits and m < n_lines * BITS_PER_LINE:
-        m *= 2
+    m = filter_bits(n_lines, max_bits)
     sc = docs.sparkSession.sparkContext
     bitmap = sc.broadcast(seen_twice(table.select("text"), m))
     counts = table.select("row", "text").mapInArrow(_counted(bitmap), "key binary, n bigint, row binary, line int")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, neardup, quality, sharding
+from . import decontaminate, linededup, mixing, neardup, quality, sharding, spandedup
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality_mcd": quality.op4_quality_mcd,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op9_span_dedup": spandedup.op9_span_dedup,
 }
 
 ORACLES = {

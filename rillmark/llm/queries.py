@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, neardup, quality, sharding, spandedup
+from . import decontaminate, linededup, mixing, neardup, quality, sharding, spandedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_span_dedup": spandedup.op9_span_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, linededup, mixing, neardup, quality, sharding, spandedup, toxicity
+from . import decontaminate, htmltext, linededup, mixing, neardup, quality, sharding, spandedup, toxicity
 
 QUERIES = {
     "op1_line_dedup": linededup.op1_line_dedup,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_shard": sharding.op3_shard,
     "op4_quality_mcd": quality.op4_quality_mcd,
+    "op6_main_text": htmltext.op6_main_text,
     "op7_near_duplicates": neardup.op7_near_duplicates,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_span_dedup": spandedup.op9_span_dedup,

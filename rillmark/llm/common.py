@@ -61,3 +61,19 @@ def unit_hash(seed: int, *parts: Column) -> Column:
     """Uniform double in [0, 1) that depends on the seed and the parts only (52 bits of an MD5)."""
     text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, rows: str, spread: str, total: int, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Join left to right, whose `on` is unique, so that no hot key lands in one task.
+
+    `rows` is right's count of left rows of a key.  Keys of a thousandth of the
+    `total` left rows or more, a thousand at most, are told to all tasks; their
+    left rows are dealt over `salts` by a hash of column `spread`, and their right
+    row is repeated for each.
+    """
+    least = max(10_000, -(-total // 1000))
+    hot = right.filter(F.col(rows) >= least).select(F.col(on).alias("_hot"))
+    dealt = left.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts))).cast("int")).drop("_hot")
+    every = F.when(F.col(rows) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(right.withColumn("_salt", F.explode(every)), [on, "_salt"], how).drop("_salt")

@@ -67,14 +67,14 @@ def mix(
     broadcast_sources: int = BROADCAST_SOURCES,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: id, size, source_size, target, copies (how often the mix takes it), and `carry` columns."""
+    """Per document: doc_id, size, source_size, target, copies (how often the mix takes it), and the `carry` columns as c_<name>."""
     named = dict.fromkeys([id_col, text_col, source_col, *carry])
     own = pick(docs, *named).select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.size(words(F.col(text_col))).cast("long").alias("size"),
         F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_key"),
-        *[F.col(c).alias(f"_c_{c}") for c in carry],
+        *[F.col(c).alias(f"c_{c}") for c in carry],
     )
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(materialize(sizes), weights, cap, share))
@@ -88,15 +88,13 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + (unit_hash(seed, F.col("_key")) < rate - whole).cast("long")
-    return met.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), *[F.col(f"_c_{c}").alias(c) for c in carry if c != "doc_id"]
-    )
+    return met.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[f"c_{c}" for c in carry])
 
 
 def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: `columns` of every document, as many rows as its copies."""
-    repeated = mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return repeated.select(*columns)
+    """The mix itself: the carried `columns` of every document, as many rows as its copies."""
+    repeated = mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*[F.col(f"c_{c}").alias(c) for c in columns])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialize, pick
+from .common import WHITE, join_hot, materialize, pick
 
 #: Bits of a filter per line, hashes per line, and the least and most bits of a filter (32 MB).
 BITS_PER_LINE, HASHES, MIN_BITS, MAX_BITS = 10, 4, 1 << 16, 1 << 28
@@ -38,7 +38,6 @@ CHUNK = 1 << 16
 FAN_IN = 48
 #: Confirmed keys up to this number are broadcast (16 bytes each).
 BROADCAST_KEYS = 1_000_000
-SALTS = 32
 _WHITE = WHITE.encode()
 
 
@@ -66,20 +65,31 @@ def held(bitmap: np.ndarray, digests: bytes) -> np.ndarray:
     return _held(bitmap, _bits(np.frombuffer(digests, "<u8").reshape(-1, 2), len(bitmap) * 8))
 
 
-def _pack(chunk: np.ndarray) -> bytes:
-    """A chunk as 16-bit places of its set bits if they are few, else as its bitmap."""
-    if not chunk.any():
-        return b""
-    places = np.flatnonzero(np.unpackbits(chunk, bitorder="little"))
-    return places.astype("<u2").tobytes() if len(places) < CHUNK // 16 - 1 else chunk.tobytes()
+def _packed(bitmap: np.ndarray) -> dict[int, bytes]:
+    """Chunks with bits: as the 16-bit places of the bits if they are few, else as the bitmap."""
+    filled = np.flatnonzero(bitmap)
+    if not len(filled):
+        return {}
+    row, bit = np.nonzero(np.unpackbits(bitmap[filled][:, None], axis=1, bitorder="little"))
+    places = filled[row] * 8 + bit
+    chunk = places // CHUNK
+    starts = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+    out = {}
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(chunk)], strict=True):
+        c = int(chunk[i])
+        few = j - i < CHUNK // 16 - 1
+        out[c] = (places[i:j] % CHUNK).astype("<u2").tobytes() if few else bitmap[c * CHUNK // 8 : (c + 1) * CHUNK // 8].tobytes()
+    return out
 
 
-def _unpack(data: bytes) -> np.ndarray:
-    if len(data) == CHUNK // 8:
-        return np.frombuffer(data, np.uint8)
-    bits = np.zeros(CHUNK, np.uint8)
-    bits[np.frombuffer(data, "<u2")] = 1
-    return np.packbits(bits, bitorder="little")
+def _counts(packed: list[bytes]) -> np.ndarray:
+    """How many of the packed chunks have each bit."""
+    few = b"".join(p for p in packed if len(p) != CHUNK // 8)
+    total = np.bincount(np.frombuffer(few, "<u2"), minlength=CHUNK)
+    for p in packed:
+        if len(p) == CHUNK // 8:
+            total += np.unpackbits(np.frombuffer(p, np.uint8), bitorder="little")
+    return total
 
 
 _FILTER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -104,31 +114,21 @@ def _filters(m: int, digests_of):
             _set(twice, at[same | _held(once, at)].ravel())
             _set(once, at.ravel())
         part = TaskContext.get().partitionId()
-        used = [c for c in range(m // CHUNK) if once[c * CHUNK // 8 : (c + 1) * CHUNK // 8].any()]
+        seen, again = _packed(once), _packed(twice)
+        used = list(seen)
         for i in range(0, len(used), 256):
-            some = [slice(c * CHUNK // 8, (c + 1) * CHUNK // 8) for c in used[i : i + 256]]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(used[i : i + 256], pa.int32()),
-                    pa.array([part] * len(some), pa.int32()),
-                    pa.array([_pack(once[s]) for s in some], pa.binary()),
-                    pa.array([_pack(twice[s]) for s in some], pa.binary()),
-                ],
-                schema=_FILTER,
-            )
+            some = used[i : i + 256]
+            cells = (some, [part] * len(some), [seen[c] for c in some], [again.get(c, b"") for c in some])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _FILTER, strict=True)], schema=_FILTER)
 
     return run
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    once, twice = np.zeros(CHUNK // 8, np.uint8), np.zeros(CHUNK // 8, np.uint8)
-    for a, t in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
-        more = _unpack(a)
-        twice |= once & more
-        if t:
-            twice |= _unpack(t)
-        once |= more
-    cells = [[table.column("chunk")[0].as_py()], [table.column("up")[0].as_py()], [_pack(once)], [_pack(twice)]]
+    seen = _counts(table.column("once").to_pylist())
+    again = (seen > 1) | (_counts(table.column("twice").to_pylist()) > 0)
+    pack = lambda bits: _packed(np.packbits(bits, bitorder="little")).get(0, b"")
+    cells = [[table.column("chunk")[0].as_py()], [table.column("up")[0].as_py()], [pack(seen > 0)], [pack(again)]]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _FILTER, strict=True)], schema=_FILTER)
 
 
@@ -153,7 +153,7 @@ def seen_twice(texts: DataFrame, m: int, digests_of=_line_digests) -> np.ndarray
     bitmap = np.zeros(m // 8, np.uint8)
     for row in level.select("chunk", "twice").collect():
         if row["twice"]:
-            bitmap[row["chunk"] * CHUNK // 8 : (row["chunk"] + 1) * CHUNK // 8] = _unpack(bytes(row["twice"]))
+            bitmap[row["chunk"] * CHUNK // 8 : (row["chunk"] + 1) * CHUNK // 8] = np.packbits(_counts([bytes(row["twice"])]).astype(bool), bitorder="little")
     return bitmap
 
 
@@ -243,11 +243,23 @@ def _entry(x) -> tuple[bytes, tuple | None]:
     return bytes(key), None if row is None else (bytes(row), line)
 
 
-def ordered_id(df: DataFrame, id_col: str):
-    """The id as text in the id's order: integers by sign and sixteen hexadecimal digits, others as they are; null first."""
-    number = dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
-    digits = F.concat(F.when(F.col(id_col) < 0, "0").otherwise("1"), F.lpad(F.hex(F.col(id_col).cast("long")), 16, "0"))
-    return F.when(F.col(id_col).isNull(), F.lit("")).otherwise(digits if number else F.col(id_col).cast("string"))
+def row_key(df: DataFrame, id_col: str, body: Column) -> Column:
+    """Bytes that tell rows apart by id and text, in the id's order: null first, integers by value, other ids as text."""
+    if dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint"):
+        ordered = F.unhex(F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
+    else:
+        ordered = F.concat(F.col(id_col).cast("string").cast("binary"), F.lit(b"\0"))
+    ordered = F.when(F.col(id_col).isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\1"), ordered))
+    return F.concat(ordered, F.unhex(F.substring(F.md5(body), 1, 16)))
+
+
+def key_id(key: Column, kind: str) -> Column:
+    """The id that row_key put into a key; null for null."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        value = F.conv(F.hex(F.substring(key, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    else:
+        value = F.substring(key, F.lit(2), F.length(key) - 10)
+    return F.when(F.substring(key, 1, 1) == F.lit(b"\1"), value.cast("string").cast(kind))
 
 
 def line_dedup(
@@ -271,10 +283,9 @@ def line_dedup(
         raise ValueError("min_docs is 2 at least: the filters tell repeats only")
     plain = pick(docs, id_col, text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    ordered = ordered_id(plain, id_col)
     table = plain.select(
         F.col(id_col).alias("doc_id"),
-        F.concat(ordered.cast("binary"), F.lit(b"\0"), F.unhex(F.md5(body))).alias("row"),
+        row_key(plain, id_col, body).alias("row"),
         body.alias("text"),
     )
     n_lines = table.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))).cast("long") + 1)).first()[0] or 0
@@ -284,7 +295,7 @@ def line_dedup(
     counts = table.select("row", "text").mapInArrow(_counted(bitmap), "key binary, n bigint, row binary, line int")
     found = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("row", "line")).alias("at")).filter(F.col("n") >= min_docs)
     at = F.col("at")
-    drops = materialize(found.select("key", *[(at[c] if keep_first else F.lit(None).cast(t)).alias(c) for c, t in (("row", "binary"), ("line", "int"))]))
+    drops = materialize(found.select("key", "n", *[(at[c] if keep_first else F.lit(None).cast(t)).alias(c) for c, t in (("row", "binary"), ("line", "int"))]))
     schema = _KEPT.format(id=dict(table.dtypes)["doc_id"])
     if drops.count() <= broadcast_keys:
         known = sc.broadcast(dict(_entry((r["key"], r["row"], r["line"])) for r in drops.collect()))
@@ -296,9 +307,8 @@ def line_dedup(
                 pairs = [(r, d) for r, one in zip(batch.column(0).to_pylist(), _suspects(batch.column(1).to_pylist(), bitmap.value), strict=True) for d in one]
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["own", "key"])
 
-        held = table.select("row", "text").mapInArrow(suspected, "own binary, key binary").withColumn("salt", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int"))
-        salted = drops.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        listed = held.join(salted, ["key", "salt"]).groupBy("own").agg(F.collect_set(F.struct("key", "row", "line")).alias("drops"))
+        suspects = table.select("row", "text").mapInArrow(suspected, "own binary, key binary")
+        listed = join_hot(suspects, drops, "key", "n", "own", drops.agg(F.sum("n")).first()[0]).groupBy("own").agg(F.collect_set(F.struct("key", "row", "line")).alias("drops"))
         kept = table.join(listed, table["row"] == listed["own"], "left").select("doc_id", "row", "text", "drops").mapInArrow(_applied(None, True), schema)
     return kept.withColumn("text", F.col("text").cast("string"))
 

@@ -23,68 +23,61 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
-from .linededup import MAX_BITS, filter_bits, held, ordered_id, seen_twice
+from .common import join_hot, materialize, pick
+from .linededup import MAX_BITS, filter_bits, held, key_id, row_key, seen_twice
 
 #: Least sentences and words of a run, and the words that make a run of any number of sentences.
 RUN, RUN_WORDS, LONG_WORDS = 3, 25, 50
 #: Bytes of text per run, to size the filter.
 BYTES_PER_RUN = 64
-SALTS = 32
 #: A sentence ends with a line, or after . ! ? (and the full-width full stop) before white space.
 _END = re.compile(rb"[.!?]+(?=[ \t\n\x0b\x0c\r])|\xe3\x80\x82|\n")
 _BLANK = b" \t\n\x0b\x0c\r"
 
 
-def sentences(text: bytes | None) -> list[tuple[int, int, list[bytes]]]:
-    """(start, end, lower-cased words) of each sentence with a word; ends are where the next one starts."""
+def sentences(text: bytes | None) -> list[tuple[int, int]]:
+    """(start, end) of each sentence with a word; what has none belongs to the sentence before it, or to the first."""
     data = text or b""
     out, start = [], 0
-    low = data.lower()
-    ends = [m.end() for m in _END.finditer(data)]
-    for end in [*ends, len(data)]:
-        if words := low[start:end].split():
-            out.append((start, end, words))
+    for end in [*[m.end() for m in _END.finditer(data)], len(data)]:
+        if data[start:end].strip(_BLANK):
+            out.append((start, end))
             start = end
     if out and start < len(data):
-        out[-1] = (out[-1][0], len(data), out[-1][2])
+        out[-1] = (out[-1][0], len(data))
     return out
 
 
-def runs(own: list[tuple[int, int, list[bytes]]]) -> list[tuple[int, int]]:
-    """The distinct (first, last) sentences of a text's runs."""
-    counts = [len(w) for *_, w in own]
-    found = set()
+def runs(counts: list[int]) -> list[tuple[int, int]]:
+    """The distinct (first, last) sentences of the runs of a text whose sentences have so many words."""
     n = len(counts)
-    last, total = -1, 0
-    for i in range(n):  # onward: the shortest run from i
-        while last < n - 1 and not (total >= LONG_WORDS or (last - i + 1 >= RUN and total >= RUN_WORDS)):
-            last += 1
-            total += counts[last]
-        if total >= LONG_WORDS or (last - i + 1 >= RUN and total >= RUN_WORDS):
-            found.add((i, last))
-        total -= counts[i]
-    first, total = n, 0
-    for j in range(n - 1, -1, -1):  # back: the shortest run that ends at j
-        while first > 0 and not (total >= LONG_WORDS or (j - first + 1 >= RUN and total >= RUN_WORDS)):
-            first -= 1
-            total += counts[first]
-        if total >= LONG_WORDS or (j - first + 1 >= RUN and total >= RUN_WORDS):
-            found.add((first, j))
-        total -= counts[j]
-    return sorted(found)
+    total = np.concatenate([[0], np.cumsum(counts)])
+    start, end = np.arange(n), np.arange(1, n + 1)
+    # onward: the shortest run from each sentence; `to` is where it ends
+    to = np.minimum(np.searchsorted(total, total[:-1] + LONG_WORDS), np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS), start + RUN))
+    # back: the shortest run that ends before each `end`
+    since = np.maximum(np.searchsorted(total, total[1:] - LONG_WORDS, "right") - 1, np.minimum(np.searchsorted(total, total[1:] - RUN_WORDS, "right") - 1, end - RUN))
+    onward, back = to <= n, since >= 0
+    return sorted({*zip(start[onward].tolist(), (to[onward] - 1).tolist(), strict=True), *zip(since[back].tolist(), (end[back] - 1).tolist(), strict=True)})
 
 
 def _digests(text: bytes | None) -> tuple[list[tuple[int, int]], list[bytes]]:
-    own = sentences(text)
-    joined = [b" ".join(w) for *_, w in own]
-    spans = runs(own)
-    return spans, [xxhash.xxh3_128_digest(b" ".join(joined[i : j + 1])) for i, j in spans]
+    low = (text or b"").lower()
+    own = [low[a:b].split() for a, b in sentences(low)]
+    if not own:
+        return [], []
+    joined = [b" ".join(w) for w in own]
+    whole, at = b" ".join(joined), [0]
+    for j in joined:
+        at.append(at[-1] + len(j) + 1)
+    spans = runs([len(w) for w in own])
+    return spans, [xxhash.xxh3_128_digest(whole[at[i] : at[j + 1] - 1]) for i, j in spans]
 
 
 def _run_digests(text: bytes | None) -> bytes:
@@ -93,15 +86,14 @@ def _run_digests(text: bytes | None) -> bytes:
 
 def _suspected(bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                spans, digests = _digests(text)
-                if digests:
-                    may = held(bitmap.value, b"".join(digests)).tolist()
-                    out += [(d, row, i, j) for (i, j), d, m in zip(spans, digests, may, strict=True) if m]
-            kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["run", "row", "first", "last"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                found = [_digests(t) for t in batch.column(1).to_pylist()]
+                may = iter(held(bitmap.value, b"".join(d for _, ds in found for d in ds)).tolist())
+                out = [(d, row, i, j) for row, (spans, ds) in zip(batch.column(0).to_pylist(), found, strict=True) for (i, j), d in zip(spans, ds, strict=True) if next(may)]
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["run", "row", "first", "last"])
 
     return run
 
@@ -114,7 +106,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone = {k for s in spans or () for k in range(s["first"], s["last"] + 1)}
             counts.append(len(own))
             dropped.append(len(gone))
-            kept.append(b"".join(text[a:b] for k, (a, b, _) in enumerate(own) if k not in gone) if gone else text)
+            kept.append(b"".join(text[a:b] for k, (a, b) in enumerate(own) if k not in gone) if gone else text)
         arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), batch.column(3), pa.array(kept, pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_sentences", "n_removed", "repeats_of", "text"])
 
@@ -123,27 +115,22 @@ def span_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """Per row: doc_id, n_sentences, n_removed, repeats_of (ids that hold the first occurrence of a run removed here, sorted), and the kept text."""
     plain = pick(docs, id_col, text_col)
     body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    row = F.concat(ordered_id(plain, id_col).cast("binary"), F.lit(b"\0"), F.unhex(F.md5(body)))
+    row = row_key(plain, id_col, body)
     table = plain.select(F.col(id_col).alias("doc_id"), row.alias("row"), body.alias("text"))
     total = table.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     sc = docs.sparkSession.sparkContext
     bitmap = sc.broadcast(seen_twice(table.select("text"), filter_bits(total // BYTES_PER_RUN, max_bits), _run_digests))
     found = table.select("row", "text").mapInArrow(_suspected(bitmap), "run binary, row binary, first int, last int")
-    # the id of a row is told with it
-    ids = table.select("row", "doc_id")
     found = materialize(found)
     at = F.struct("row", "first")
-    firsts = found.groupBy("run").agg(F.min(at).alias("at"), F.max(at).alias("to")).filter(F.col("at") != F.col("to"))
-    firsts = materialize(firsts.select("run", F.col("at.row").alias("first_row"), F.col("at.first").alias("first_at")))
-    holders = firsts.select("first_row").distinct().join(ids, F.col("first_row") == F.col("row")).select("first_row", F.col("doc_id").alias("holder")).distinct()
-    named = firsts.join(holders, "first_row")
-    salted = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = found.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["run", "salt"])
+    firsts = found.groupBy("run").agg(F.min(at).alias("at"), F.max(at).alias("to"), F.count("*").alias("n")).filter(F.col("at") != F.col("to"))
+    firsts = materialize(firsts.select("run", F.col("at.row").alias("first_row"), F.col("at.first").alias("first_at"), "n"))
+    met = join_hot(found, firsts, "run", "n", "row", found.count())
     later = met.filter((F.col("row") != F.col("first_row")) | (F.col("first") != F.col("first_at")))
-    spans = later.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.array_sort(F.collect_set("holder")).alias("repeats_of"))
+    spans = later.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.collect_set("first_row").alias("holders"))
     kind = dict(table.dtypes)["doc_id"]
     joined = table.join(spans.withColumnRenamed("row", "own"), F.col("row") == F.col("own"), "left")
-    joined = joined.select("doc_id", "text", "spans", F.coalesce("repeats_of", F.array().cast(f"array<{kind}>")).alias("repeats_of"))
+    joined = joined.select("doc_id", "text", "spans", F.array_sort(F.array_distinct(F.transform(F.coalesce("holders", F.array().cast("array<binary>")), lambda r: key_id(r, kind)))).alias("repeats_of"))
     kept = joined.mapInArrow(_removed, f"doc_id {kind}, n_sentences bigint, n_removed bigint, repeats_of array<{kind}>, text binary")
     return kept.withColumn("text", F.col("text").cast("string"))
 

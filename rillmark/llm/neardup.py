@@ -24,6 +24,7 @@ them only if there is no other id; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 from .components import connected
 
-#: Words of a shingle, orders of the forest, hashes of a region's first prefix, and its longer prefixes.
-SHINGLE, TREES, DEPTH, DEEPER = 5, 14, 4, (8, 16, 56)
+#: Words of a shingle, hashes of a region's first prefix, its longer prefixes (then all), and how likely a pair at the threshold may meet in no region.
+SHINGLE, DEPTH, DEEPER, MISS = 5, 4, (8, 16), 1e-4
 #: Most shingles (a node counts LEAST_WEIGHT at least) of a region that one task confirms.
 MAX_WEIGHT, LEAST_WEIGHT = 1_000_000, 500
 SALTS = 16
@@ -127,8 +128,9 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     both = np.zeros((n, n), np.float32)
-    step = max(256, 8_000_000 // n)
-    for low in range(0, int((df > 1).sum()), step):
+    width = int((df > 1).sum())
+    step = min(width, max(256, 8_000_000 // n))
+    for low in range(0, width, step or 1):
         i, j = np.searchsorted(column, [low, low + step])
         block = np.zeros((n, step), np.float32)
         block[owner[i:j], column[i:j] - low] = 1
@@ -217,13 +219,18 @@ def near_duplicates(
     text_col: str = "text",
     percent: int = 80,
     shingle: int = SHINGLE,
-    trees: int = TREES,
+    trees: int | None = None,
     max_weight: int = MAX_WEIGHT,
 ) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (the least id reachable by links), kept (it is its own component_id)."""
+    """Documents linked by a similarity of percent / 100 or more.
+
+    Per row: doc_id, n_shingles, component_id (the least id reachable by links), kept (it is its own component_id).
+    """
     plain = pick(docs, id_col, text_col)
     plain = plain.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     id_type = dict(plain.dtypes)["doc_id"]
+    # a pair of similarity s shares a first prefix in one order with probability s ** DEPTH
+    trees = trees or max(4, ceil(log(MISS) / log(1 - min(0.99, percent / 100) ** DEPTH)))
     size = trees * DEPTH
     base = plain.mapInArrow(_signed(shingle, size), f"doc_id {id_type}, n_shingles bigint, node binary, signature binary")
     base = materialize(base)

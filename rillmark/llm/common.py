@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rillmark.storage import materialize, scratch
+
+__all__ = ["WHITE", "WHITE_RE", "join_hot", "materialize", "pick", "scratch", "unit_hash", "words"]
+
 #: The six ASCII white-space characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
@@ -27,30 +28,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return renamed.select(*[F.col(f"_in{i}").alias(n) for i, n in zip(at, names, strict=True)])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the storage that all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, as in tests on one machine, a local temporary
-    folder is set for it.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="rillmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to shared storage and read it back.
-
-    Cuts the lineage; the rows survive the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; null and blank texts have none."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(WHITE))

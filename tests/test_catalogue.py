@@ -1,0 +1,55 @@
+"""Every query against its SQL."""
+
+import pytest
+
+from rillmark.plans.catalogue import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_query_equals_its_sql(spark, tiny, sql, same_rows, name):
+    same_rows(QUERIES[name](spark, tiny), sql(tiny, ORACLES[name]))
+
+
+def test_every_query_has_sql_but_the_generated_one():
+    assert set(QUERIES) - set(ORACLES) == {"generated_click_counts"}
+
+
+def test_ordered_queries_are_ordered(spark, tiny):
+    rows = [(r["wid"], r["c_id"]) for r in QUERIES["ysb_click_counts_ordered"](spark, tiny).collect()]
+    assert rows == sorted(rows) and rows
+    rows = [(r["query_id"], r["wid"], r["c_id"]) for r in QUERIES["ysb_multi_query_ordered"](spark, tiny).collect()]
+    assert rows == sorted(rows) and rows
+
+
+def test_sliding_windows_add_up_their_slices(spark, tiny):
+    slices = {(r["slice_id"], r["c_id"]): r["cnt"] for r in QUERIES["ysb_slices"](spark, tiny).collect()}
+    for r in QUERIES["ysb_sliding"](spark, tiny).collect():
+        assert r["cnt"] == sum(slices.get((r["wid"] + k, r["c_id"]), 0) for k in range(4))
+
+
+def test_counts_add_up_to_matched_clicks(spark, tiny):
+    total = sum(r["cnt"] for r in QUERIES["ysb_click_counts"](spark, tiny).collect())
+    assert total == QUERIES["ysb_enriched"](spark, tiny).count()
+
+
+def test_filters_and_columns_reach_the_scan(spark, tiny):
+    plan = QUERIES["ysb_click_counts"](spark, tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,click)" in plan
+    assert "props" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_generated_events(spark):
+    from rillmark.sources.generator import generate
+
+    rows = generate(spark, 100, 3, start=50).collect()
+    assert len(rows) == 300 and {r["event_type"] for r in rows} == {"click", "view", "purchase"}
+    assert rows == generate(spark, 100, 3, start=50).collect()
+    seconds = sorted({int(r["event_time"].timestamp()) for r in rows})
+    assert seconds == [50, 51, 52]
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() > 0
+    assert set(entry.oracle_sql()) <= set(entry.queries())

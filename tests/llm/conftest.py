@@ -1,0 +1,30 @@
+"""Documents with nulls, ties, repeats and columns that clash."""
+
+import pytest
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, TEXT string, size long, kept string, c_text string, w int, n int, component_id long, score string, row string"
+
+
+@pytest.fixture(scope="session")
+def make_docs(spark):
+    """make_docs([(id, text[, lang, source])]): documents with extra columns, whose names clash with others and with those used inside."""
+
+    def make(rows):
+        full = [(r[0], r[1], *(r[2:] or ("en", "a")), len(r[1] or "")) for r in rows]
+        plain = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+        return plain.selectExpr("*", "'x' as TEXT", "-1L as size", "'no' as kept", "'y' as c_text", "7 as w", "8 as n", "9L as component_id", "'s' as score", "'r' as row").toDF(
+            *[f.split()[0] for f in SCHEMA.split(", ")]
+        )
+
+    return make
+
+
+@pytest.fixture(scope="session")
+def odd_texts():
+    """Null, empty, blank, one line, long, non-ASCII, and repeated rows."""
+    long = " ".join(f"word{k % 997} other{k % 13}." for k in range(30_000))
+    same = "The very same line\nand another one. A third sentence here, with some more words in it than that."
+    return [
+        (1, None, None, None), (2, "", "en", "a"), (3, " \t\n\r ", "en", None), (4, same, "en", "a"), (5, same, "en", "b"), (5, same, "en", "b"), (None, same, None, "b"),
+        (None, "only me", "de", "b"), (6, long, "en", "a"), (7, "ÄÖ ü ß É\n\nthe VERY same LINE \n日本語 テキスト", "de", "a"), (8, "a", "en", "a"), (9, "x\n" * 50, "en", "c"),
+    ]

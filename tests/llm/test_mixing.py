@@ -1,0 +1,40 @@
+import pytest
+from plain import mix as plain
+
+from rillmark.llm import mixing
+from rillmark.llm.queries import ORACLES, QUERIES
+
+
+def test_query_equals_its_sql(spark, small, sql, same_rows):
+    same_rows(QUERIES["op8_mix_sources"](spark, small), sql(small, ORACLES["op8_mix_sources"]))
+
+
+def check(found, expected):
+    shape = lambda i, size, total, target, copies: (i is not None, i or 0, size, total, round(target, 6), copies)
+    assert sorted(shape(r["doc_id"], r["size"], r["source_size"], r["target"], r["copies"]) for r in found) == sorted(shape(*r) for r in expected)
+
+
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_equals_resharing_round_by_round(make_docs, broadcast):
+    rows = [(i, "w " * (1 + i * 7 % 40), "en", [None, "b", "a", "hot", "hot", "é", "Z"][i % 7] if i % 11 else "rare") for i in range(300)]
+    found = mixing.mix(make_docs(rows), broadcast_sources=broadcast).collect()
+    check(found, plain([(r[0], r[1], r[3]) for r in rows]))
+    assert all(r["copies"] <= 3 for r in found)
+    for source_size, target in {(r["source_size"], r["target"]) for r in found}:
+        assert target <= 3 * source_size
+
+
+def test_mix_is_emitted_as_often_as_it_is_taken(make_docs):
+    rows = [(i, f"text {i} " * (1 + i % 5), "en", f"s{i % 4}") for i in range(100)]
+    mixed = mixing.mix(make_docs(rows), carry=("doc_id", "text", "size"))
+    copies = {r["doc_id"]: r["copies"] for r in mixed.collect()}
+    emitted = mixing.emit(mixed, ["doc_id", "text", "size"]).collect()
+    assert {i: sum(r["doc_id"] == i for r in emitted) for i in copies} == copies
+    assert all(r["size"] == -1 and r["text"].startswith(f"text {r['doc_id']}") for r in emitted)
+
+
+def test_odd_texts_and_empty_table(make_docs, odd_texts):
+    docs = make_docs(odd_texts)
+    check(mixing.mix(docs).collect(), plain([(r[0], r[1], r[3]) for r in odd_texts]))
+    assert mixing.mix(docs.filter("false")).count() == 0
+    assert [r["copies"] for r in mixing.mix(make_docs([(1, None, "en", "a"), (2, " ", "en", "b")])).collect()] == [0, 0]

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import WHITE, join_hot, materialize, pick
 
 #: Bits of a filter per line, hashes per line, and the least and most bits of a filter (32 MB).
-BITS_PER_LINE, HASHES, MIN_BITS, MAX_BITS = 10, 4, 1 << 16, 1 << 28
+BITS_PER_LINE, HASHES, MIN_BITS, MAX_BITS = 8, 4, 1 << 16, 1 << 28
 CHUNK = 1 << 16
 #: Filters merged by one task at a time.
 FAN_IN = 48
@@ -104,7 +104,7 @@ def _filters(m: int, digests_of):
         from pyspark import TaskContext
 
         once, twice = np.zeros(m // 8, np.uint8), np.zeros(m // 8, np.uint8)
-        for batch in batches:
+        for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             halves = np.frombuffer(b"".join(map(digests_of, batch.column(0).to_pylist())), "<u8").reshape(-1, 2)
             order = np.argsort(halves[:, 0], kind="stable")
             halves = halves[order]
@@ -114,11 +114,10 @@ def _filters(m: int, digests_of):
             _set(twice, at[same | _held(once, at)].ravel())
             _set(once, at.ravel())
         part = TaskContext.get().partitionId()
-        seen, again = _packed(once), _packed(twice)
-        used = list(seen)
-        for i in range(0, len(used), 256):
-            some = used[i : i + 256]
-            cells = (some, [part] * len(some), [seen[c] for c in some], [again.get(c, b"") for c in some])
+        for first in range(0, m // CHUNK, 256):
+            part_of = slice(first * CHUNK // 8, (first + 256) * CHUNK // 8)
+            seen, again = _packed(once[part_of]), _packed(twice[part_of])
+            cells = ([first + c for c in seen], [part] * len(seen), list(seen.values()), [again.get(c, b"") for c in seen])
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cells, _FILTER, strict=True)], schema=_FILTER)
 
     return run

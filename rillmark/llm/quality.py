@@ -32,6 +32,8 @@ from .common import materialize, pick, words
 STATISTICS = {"length": 0.7, "word": 0.1, "symbol": 0.4, "lines": 0.7, "repeat": 0.7, "capital": 0.25}
 #: Least members of a group, share that an estimate is fitted on, steps, and the squared distance that rejects (the 99.5 % point of chi2_6).
 MIN_GROUP, SUPPORT, STEPS, CUTOFF = 200, 0.75, 4, 18.548
+#: Tables of more groups than this are joined by a shuffle.
+BROADCAST_GROUPS = 50_000
 #: Fixed-point units of the statistics, and bins of the distance histogram per doubling.
 UNIT, BINS = 1000, 64
 #: Consistency of the covariance of the nearest 75 % in six dimensions: 0.75 / P(chi2_8 <= q), q the 75 % point of chi2_6.
@@ -112,6 +114,12 @@ def _vector() -> dict[str, Column]:
     }
 
 
+def _small(groups: DataFrame) -> DataFrame:
+    """A table with a row per group, written; told to all tasks if it has few rows (some 300 bytes each), so that hot groups stay where they are."""
+    written = materialize(groups)
+    return F.broadcast(written) if written.count() <= BROADCAST_GROUPS else written
+
+
 def _grouped(table: DataFrame, min_group: int) -> DataFrame:
     """Adds g: the group whose estimate a document is held against; null where none is large enough."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
@@ -129,7 +137,7 @@ def _grouped(table: DataFrame, min_group: int) -> DataFrame:
         .when(F.col("pool") >= min_group, F.lit("*"))
         .alias("g"),
     )
-    return full.join(materialize(label), ["_lang", "_source"]).drop("_lang", "_source")
+    return full.join(_small(label), ["_lang", "_source"]).drop("_lang", "_source")
 
 
 def _start(x: DataFrame, dims: list[str]) -> DataFrame:
@@ -182,7 +190,7 @@ def _estimate(moments: DataFrame, dims: list[str]) -> DataFrame:
             for k in dims[:j]:
                 rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return materialize(out.select("g", *[f"m_{d}" for d in dims], *[f"l_{a}_{b}" for i, a in enumerate(dims) for b in dims[: i + 1]]))
+    return _small(out.select("g", *[f"m_{d}" for d in dims], *[f"l_{a}_{b}" for i, a in enumerate(dims) for b in dims[: i + 1]]))
 
 
 def _distance(x: DataFrame, estimate: DataFrame, dims: list[str]) -> DataFrame:
@@ -203,7 +211,7 @@ def _nearest(x: DataFrame, share: float) -> DataFrame:
     w = Window.partitionBy("g").orderBy("bin")
     hist = hist.withColumn("c", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
     most = hist.filter(F.col("c") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("most"))
-    return binned.join(most, "g").filter(F.col("bin") <= F.col("most"))
+    return binned.join(_small(most), "g").filter(F.col("bin") <= F.col("most"))
 
 
 def judge(
@@ -238,7 +246,7 @@ def judge(
     x = _grouped(table, min_group)
     # documents that fail the base rules do not shape the estimates
     fit = materialize(x.filter(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *dims))
-    first = fit.join(materialize(_start(fit, dims)), "g")
+    first = fit.join(_small(_start(fit, dims)), "g")
     near = sum((((F.col(d) - F.col(f"m_{d}")) / F.col(f"s_{d}")) ** 2 for d in dims), F.lit(0.0))
     estimate = _estimate(_moments(_nearest(first.select("g", *dims, near.alias("d2")), support), dims), dims)
     for _ in range(steps):

@@ -41,7 +41,7 @@ from .common import join_hot, materialize, pick, scratch
 #: Largest archive before a new one is begun, bytes of a range, and bytes decoded at a time.
 ARCHIVE_BYTES, SPLIT_BYTES, PIECE_BYTES = 1 << 30, 16 << 20, 64 << 10
 #: Fixed values of the format.
-MAGIC = b"\x1f\x8b\x08"
+MAGIC, MARK = b"\x1f\x8b\x08", b"WARC/"
 VERSION = b"WARC/1.1\r\n"
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = b"2000-01-01T00:00:00Z"
@@ -149,7 +149,7 @@ def write_archives(
 def parse(data: bytes) -> dict | None:
     """Headers and body of a decoded record; None if data isn't one that is whole."""
     end = data.find(b"\r\n\r\n")
-    if not data.startswith(b"WARC/") or end < 0:
+    if not data.startswith(MARK) or end < 0:
         return None
     head = {}
     for line in data[:end].split(b"\r\n")[1:]:
@@ -164,18 +164,18 @@ def parse(data: bytes) -> dict | None:
 def _decode(pieces: Iterator[bytes | memoryview]) -> tuple[bytes, int] | None:
     """The first member of the pieces, and its compressed length; None if there is no WARC record."""
     unpacker = zlib.decompressobj(31)
-    used, out = 0, []
+    used, start, out = 0, b"", []
     try:
         for piece in pieces:
             used += len(piece)
-            if not out:  # its start tells most false candidates
-                out.append(unpacker.decompress(piece, 64))
-                if not out[0].startswith(b"WARC/"):
+            if len(start) < len(MARK):  # the start tells most false candidates; a piece at a range's end may be too short for it
+                start += unpacker.decompress(piece, 64)
+                if start[: len(MARK)] != MARK[: len(start)]:
                     return None
                 piece = unpacker.unconsumed_tail
             out.append(unpacker.decompress(piece))
             if unpacker.eof:
-                return b"".join(out), used - len(unpacker.unused_data)
+                return start + b"".join(out), used - len(unpacker.unused_data)
     except zlib.error:
         pass
     return None

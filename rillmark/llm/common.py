@@ -2,30 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillmark.storage import materialize, scratch
 
-__all__ = ["WHITE", "WHITE_RE", "join_hot", "materialize", "pick", "scratch", "unit_hash", "words"]
+__all__ = ["WHITE", "WHITE_RE", "carried", "join_hot", "materialize", "pick", "scratch", "unit_hash", "words"]
 
 #: The six ASCII white-space characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """Exactly the named columns, found by exact name.
+def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
+    """Exactly the named columns, found by exact name, and others under a new one (new=old).
 
     Extra columns are ignored whatever they are called, also when they differ
     from a wanted name in case only or repeat it (the first one counts).
     """
-    for name in names:
+    wanted = dict.fromkeys(names)
+    wanted = {n: n for n in wanted} | renamed
+    for name in wanted.values():
         if name not in df.columns:
             raise ValueError(f"no column {name!r} among {df.columns}")
-    at = [df.columns.index(name) for name in names]
-    renamed = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
-    return renamed.select(*[F.col(f"_in{i}").alias(n) for i, n in zip(at, names, strict=True)])
+    placed = df.toDF(*[f"_in{i}" for i in range(len(df.columns))])
+    return placed.select(*[F.col(f"_in{df.columns.index(old)}").alias(new) for new, old in wanted.items()])
+
+
+def carried(names: Sequence[str]) -> dict[str, str]:
+    """Names under which operators hand on columns, whatever they are called: c_0 for the first, and so on."""
+    return {f"c_{i}": name for i, name in enumerate(names)}
 
 
 def words(text: Column) -> Column:

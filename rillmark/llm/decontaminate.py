@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import count
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import carried, materialize, pick
 
 #: Words of a test phrase, words of a shard's index, distance of sampled suffixes, and bytes of test texts per block.
 WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 1_000_000, 16, 16 << 20
@@ -302,13 +302,12 @@ def find_contamination(
     window: int = WINDOW,
     shard_words: int = SHARD_WORDS,
     block_bytes: int = BLOCK_BYTES,
-    carry: tuple[str, ...] = (),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per row of docs: doc_id, text, n_words, spans (merged word ranges [start, end) to remove), items (names, sorted), `carry` as c_<name>."""
-    plain = pick(docs, *dict.fromkeys([id_col, text_col, *carry]))
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    carried = F.struct(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"c_{c}") for c in carry])
-    rows = plain.select(carried.alias("carried"), text.alias("text"))
+    """Per row of docs: doc_id, text, n_words, spans (merged word ranges [start, end) to remove), items (names, sorted), `carry` as c_0, c_1 and so on."""
+    plain = pick(docs, doc_id=id_col, text=text_col, **carried(carry))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = plain.select(F.struct("doc_id", *carried(carry)).alias("carried"), text.alias("text"))
     items = pick(benchmark, item_col, item_text_col).select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).cast("binary").alias("text")
     )

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, unit_hash, words
+from .common import carried, materialize, pick, unit_hash, words
 
 #: Sources up to this number are broadcast (some 100 bytes each); more are joined by a salted shuffle.
 BROADCAST_SOURCES = 20_000
@@ -67,14 +67,14 @@ def mix(
     broadcast_sources: int = BROADCAST_SOURCES,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies (how often the mix takes it), and the `carry` columns as c_<name>."""
-    named = dict.fromkeys([id_col, text_col, source_col, *carry])
-    own = pick(docs, *named).select(
-        F.col(id_col).alias("doc_id"),
-        F.col(source_col).alias("source"),
-        F.size(words(F.col(text_col))).cast("long").alias("size"),
-        F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("_key"),
-        *[F.col(c).alias(f"c_{c}") for c in carry],
+    """Per document: doc_id, size, source_size, target, copies (how often the mix takes it), and the `carry` columns as c_0, c_1 and so on."""
+    extra = carried(carry)
+    own = pick(docs, doc_id=id_col, source=source_col, text=text_col, **extra).select(
+        "doc_id",
+        "source",
+        F.size(words(F.col("text"))).cast("long").alias("size"),
+        F.coalesce(F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("_key"),
+        *extra,
     )
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialize(source_targets(materialize(sizes), weights, cap, share))
@@ -88,13 +88,13 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
     copies = whole + (unit_hash(seed, F.col("_key")) < rate - whole).cast("long")
-    return met.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *[f"c_{c}" for c in carry])
+    return met.select("doc_id", "size", "source_size", "target", copies.alias("copies"), *extra)
 
 
 def emit(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The mix itself: the carried `columns` of every document, as many rows as its copies."""
+    """The mix itself: the carried `columns` (all that mix was given) of every document, as many rows as its copies."""
     repeated = mixed.filter(F.col("copies") > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return repeated.select(*[F.col(f"c_{c}").alias(c) for c in columns])
+    return repeated.select(*[F.col(new).alias(old) for new, old in carried(columns).items()])
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

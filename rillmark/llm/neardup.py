@@ -136,6 +136,7 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
         block[owner[i:j], column[i:j] - low] = 1
         both += block @ block.T
     both = np.rint(both).astype(np.int64)
+    np.fill_diagonal(both, sizes)
     return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
 
 

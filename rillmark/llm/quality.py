@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, words
+from .common import carried, materialize, pick, words
 
 #: Statistics of a vector and the least spread taken for each, in units of the transformed value.
 STATISTICS = {"length": 0.7, "word": 0.1, "symbol": 0.4, "lines": 0.7, "repeat": 0.7, "capital": 0.25}
@@ -42,11 +42,7 @@ CONSISTENCY = 1.47
 
 def counts(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: Sequence[str] = ()) -> DataFrame:
     """Per document the exact counts: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals."""
-    own = pick(docs, *dict.fromkeys([id_col, text_col, *carry])).select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        *[F.col(c) for c in carry],
-    )
+    own = pick(docs, *carry, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     t = (
         own.withColumn("w", words(F.col("text")))
         .withColumn("n", F.size("w"))
@@ -229,16 +225,10 @@ def judge(
     cutoff: float = CUTOFF,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per document: id, the counts, base_failed, distance (squared; null without an estimate), kept, and the `carry` columns as c_<name>."""
-    own = pick(docs, *dict.fromkeys([id_col, text_col, lang_col, source_col, *carry]))
-    own = own.select(
-        F.col(id_col).alias("doc_id"),
-        F.col(text_col).alias("text"),
-        F.col(lang_col).alias("lang"),
-        F.col(source_col).alias("source"),
-        *[F.col(c).alias(f"c_{c}") for c in carry],
-    )
-    table = counts(own, carry=("lang", "source", *[f"c_{c}" for c in carry]))
+    """Per document: id, the counts, base_failed, distance (squared; null without an estimate), kept, and the `carry` columns as c_0, c_1 and so on."""
+    extra = carried(carry)
+    own = pick(docs, doc_id=id_col, text=text_col, lang=lang_col, source=source_col, **extra)
+    table = counts(own, carry=("lang", "source", *extra))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     vector = [F.round(c * UNIT).cast("long").alias(d) for d, c in _vector().items()]
     table = materialize(table.select("*", failed.alias("base_failed"), *vector))
@@ -254,7 +244,7 @@ def judge(
     seen = _distance(x, estimate, dims)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return seen.select(*columns, F.col("d2").alias("distance"), kept.alias("kept"), *[f"c_{c}" for c in carry])
+    return seen.select(*columns, F.col("d2").alias("distance"), kept.alias("kept"), *extra)
 
 
 def op4_quality_mcd(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def make_docs(spark):
 def odd_texts():
     """Null, empty, blank, one line, long, non-ASCII, and repeated rows."""
     long = " ".join(f"word{k % 997} other{k % 13}." for k in range(30_000))
-    same = "The very same line\nand another one. A third sentence here, with some more words in it than that."
+    same = "The very same line\nand another one. A third sentence here, with some more words in it than that, and yet a few more of them to make a run."
     return [
         (1, None, None, None), (2, "", "en", "a"), (3, " \t\n\r ", "en", None), (4, same, "en", "a"), (5, same, "en", "b"), (5, same, "en", "b"), (None, same, None, "b"),
         (None, "only me", "de", "b"), (6, long, "en", "a"), (7, "ÄÖ ü ß É\n\nthe VERY same LINE \n日本語 テキスト", "de", "a"), (8, "a", "en", "a"), (9, "x\n" * 50, "en", "c"),

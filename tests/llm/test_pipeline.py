@@ -1,0 +1,51 @@
+import corpus_pipeline
+import pytest
+from plain import components, contamination, decontaminated, mix, shards
+
+from rillmark.llm import quality
+from rillmark.llm.common import materialize
+
+
+@pytest.fixture(scope="module")
+def stages(spark, small):
+    """What each stage returns, written and read again."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    out = [("documents", docs)]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, small))
+        out.append((name, docs))
+    return [(name, df.columns, [tuple(r) for r in df.collect()]) for name, df in out]
+
+
+def test_each_stage_equals_its_plain_version(spark, small, stages):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    assert all(c == columns for _, c, _ in stages[:-1])
+    documents, judged, unique, clean, mixed, sharded = [rows for *_, rows in stages]
+    kept = {r["doc_id"] for r in quality.judge(spark.read.parquet(f"{small}/documents.parquet")).filter("kept").collect()}
+    assert sorted(judged) == sorted(r for r in documents if r[0] in kept) and len(judged) < len(documents)
+    groups = components([(r[0], r[1]) for r in judged], 80)
+    assert sorted(unique) == sorted(r for r in judged if groups[r[0]][1] == r[0]) and len(unique) < len(judged)
+    items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
+    hits = contamination([(r[0], r[1]) for r in unique], items)
+    expected = [(r[0], t := decontaminated(r[1], hits[r[0]][1]), r[2], r[3], len(t) if hits[r[0]][1] else r[4]) for r in unique]
+    assert sorted(clean) == sorted(expected) and any(h[1] for h in hits.values())
+    taken = {i: copies for i, *_, copies in mix([(r[0], r[1], r[3]) for r in clean])}
+    assert sorted(mixed) == sorted(r for r in clean for _ in range(taken[r[0]]))
+    assert sorted((r[0], r[1], r[4], r[5]) for r in sharded) == sorted(shards([(r[0], r[1]) for r in mixed]))
+
+
+def test_run_gives_the_last_stage(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialize(stage(spark, docs, tiny))
+    assert sorted(map(tuple, corpus_pipeline.run(spark, tiny).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+
+
+def test_stages_take_odd_texts_and_no_rows(spark, make_docs, odd_texts, tiny):
+    docs = make_docs(odd_texts)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tiny)
+        assert out.columns == docs.columns and out.count() <= 3 * docs.count()
+        assert stage(spark, docs.filter("false"), tiny).count() == 0
+    assert corpus_pipeline.shard(spark, docs, tiny).count() == docs.count()
+    assert corpus_pipeline.shard(spark, docs.filter("false"), tiny).count() == 0

@@ -1,0 +1,83 @@
+import gzip
+import hashlib
+import io
+
+import pytest
+from pyspark.sql import functions as F
+
+from rillmark.llm import warc
+from rillmark.llm.queries import ORACLES, QUERIES
+
+
+def test_query_equals_its_sql(spark, small, sql, same_rows):
+    same_rows(QUERIES["op5_warc"](spark, small), sql(small, ORACLES["op5_warc"]))
+
+
+@pytest.fixture()
+def pages(spark):
+    def made(rows):
+        return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as payload", "1 as first", "2 as n", "'u' as URL").toDF("page_id", "url", "html", "payload", "first", "n", "URL")
+
+    return made
+
+
+ROWS = [(5, "http://a/é x", "<p>same</p>"), (3, None, "<p>same</p>"), (9, "http://b\r\nX: y", "<p>same</p>"), (1, "http://c", None), (2, "http://d", ""), (None, "http://e", "<p>same</p>"), (None, "u", "alone"), (7, "u", "\r\n\r\nWARC/1.1\r\n" * 3000), (8, "u", "ä" * 50_000), (8, "u", "ä" * 50_000)]
+
+
+@pytest.mark.parametrize("split_bytes", [16 << 20, 1000, 37])
+def test_archives_read_back_at_any_split(spark, pages, tmp_path, split_bytes):
+    archives = warc.write_archives(pages(ROWS), f"file://{tmp_path}/w", archive_bytes=2000)
+    found = warc.read_archives(spark, archives, split_bytes=split_bytes, id_type="long").collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "", r[2])
+    shape = [(r["page_id"], r["payload_digest"], r["record_type"], r["payload_bytes"], r["refers_to"]) for r in found]
+    digest = lambda t: warc.digest((t or "").encode())
+    size = lambda t: len((t or "").encode())
+    first = {"<p>same</p>": 3, None: 1, "": 1, "ä" * 50_000: 8}
+    expected = []
+    for i, _, html in ROWS:
+        least = first.get(html)
+        revisit = least is not None and i != least
+        expected.append((i, digest(html), "revisit" if revisit else "response", size(html), least if revisit else None))
+    assert sorted(shape, key=key) == sorted(expected, key=key)
+    texts = {(r["page_id"], bytes(r["payload"])) for r in found if r["record_type"] == "response"}
+    assert texts == {(i, (t or "").encode()) for (i, _, t), e in zip(ROWS, expected, strict=True) if e[2] == "response"}
+    assert {r["url"] for r in found if r["page_id"] == 3} == {None}
+
+
+def test_archives_are_plain_gzip_members_of_records(spark, pages, tmp_path):
+    files = warc.write_archives(pages(ROWS[:3]).coalesce(1), f"file://{tmp_path}/w").collect()
+    assert sum(r["records"] for r in files) == 3
+    data = b"".join(gzip.decompress(open(r["file"].removeprefix("file://"), "rb").read()) for r in files)
+    assert data.count(b"WARC/1.1\r\n") == 3 + len(files) and data.count(b"WARC-Type: revisit") == 2
+    assert b"\r\nX: y" not in data
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.endswith(".tmp")]
+
+
+def test_small_payloads_may_stay_whole(spark, pages, tmp_path):
+    archives = warc.write_archives(pages(ROWS), f"file://{tmp_path}/w", revisit_bytes=12)
+    kinds = {(r["payload_bytes"] < 12, r["record_type"]) for r in warc.read_archives(spark, archives).collect()}
+    assert (True, "revisit") not in kinds
+
+
+def test_false_magic_inside_a_member_is_no_record():
+    inner = warc.record("2", "u", b"inner", None, False)
+    # stored without compression, so that the inner member's bytes stand in the outer one
+    noise = b"\x1f\x8b\x08" + hashlib.sha256(b"x").digest() * 5
+    data = warc.record("1", "u", noise, None, False) + inner
+    for start in range(0, len(data)):
+        owned = [r["head"]["x-page-id"] for r in warc.records(io.BytesIO(data), start, len(data))]
+        assert owned == ([b"1", b"2"] if start == 0 else [b"2"] if start <= len(data) - len(inner) else [])
+
+
+def test_broken_payload_is_told():
+    one = warc.parse(gzip.decompress(warc.record("1", "u", b"abc", None, False)))
+    one["body"] = one["body"][:-1] + b"x"
+    with pytest.raises(ValueError):
+        warc._page(one)
+
+
+def test_empty_table(spark, pages):
+    archives = warc.write_archives(pages([]))
+    assert archives.count() == 0
+    read = warc.read_archives(spark, archives)
+    assert read.count() == 0 and read.filter(F.col("page_id").isNotNull()).columns == read.columns

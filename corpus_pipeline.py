@@ -11,30 +11,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillmark.llm import decontaminate, mixing, neardup, quality, sharding
-from rillmark.llm.common import materialize
+from rillmark.llm.common import carried, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
     judged = quality.judge(docs, carry=docs.columns)
-    return judged.filter("kept").select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    return judged.filter("kept").select(*[F.col(new).alias(old) for new, old in carried(docs.columns).items()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (0.8 or more on five-word shingles): that of the least id."""
     found = neardup.near_duplicates(docs, percent=80)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    own = docs.toDF(*carried(docs.columns))
+    return own.join(gone, F.col(f"c_{docs.columns.index('doc_id')}") == F.col("gone"), "left_anti").toDF(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, passages of the benchmark removed from their texts; n_chars follows the text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.find_contamination(docs, benchmark, carry=tuple(c for c in docs.columns if c != "text"))
-    text = decontaminate.cleaned(found)
+    found = decontaminate.cleaned(decontaminate.find_contamination(docs, benchmark, carry=docs.columns))
     hit = F.size("spans") > 0
-    new = {"n_chars": F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("c_n_chars"))} if "n_chars" in docs.columns else {}
-    return text.select(*[F.col("text") if c == "text" else new.get(c, F.col(f"c_{c}")).alias(c) for c in docs.columns])
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    held = carried(docs.columns).items()
+    return found.select(*[(F.when(hit, new[old]).otherwise(F.col(c)) if old in new else F.col(c)).alias(old) for c, old in held])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

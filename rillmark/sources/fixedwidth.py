@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from rillmark.storage import ship_package
+
 #: Rows decoded at a time.
 ROWS = 100_000
 #: A field is (name, kind): "int", "float", or the number of its characters.
@@ -36,6 +38,7 @@ def read_fixed(spark: SparkSession, path: str, fields: Fields) -> DataFrame:
                     arrays = [pa.array(part[n].copy()) if k in ("int", "float") else pa.array([v.decode("utf-8", "replace").rstrip(" ") for v in part[n].tolist()], pa.string()) for n, k in fields]
                     yield pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in fields])
 
+    ship_package(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _spark(fields))
 
 
@@ -68,6 +71,7 @@ def write_fixed(df: DataFrame, folder: str, fields: Fields) -> DataFrame:
         store.move(temporary, f"{root}/{name}")
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([count], pa.int64())], names=["file", "rows"])
 
+    ship_package(df.sparkSession)
     return df.select(*[n for n, _ in fields]).mapInArrow(run, "file string, rows bigint")
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,3 +33,23 @@ def materialize(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, also where only the driver has it: once per application, as a zip that Spark hands out."""
+    context = spark.sparkContext
+    folder = os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _shipped or not os.path.isdir(folder):
+        return
+    _shipped.add(context.applicationId)
+    made = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="rillmark-")), "rillmark.zip")
+    with zipfile.ZipFile(made, "w") as archive:
+        for place, _, names in os.walk(folder):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(place, name)
+                    archive.write(path, os.path.relpath(path, os.path.dirname(folder)))
+    context.addPyFile(made)

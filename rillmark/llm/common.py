@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rillmark.storage import materialize, scratch
+from rillmark.storage import materialize, scratch, ship_package
 
 __all__ = ["WHITE", "WHITE_RE", "carried", "join_hot", "materialize", "pick", "scratch", "unit_hash", "words"]
 
@@ -22,6 +22,7 @@ def pick(df: DataFrame, *names: str, **renamed: str) -> DataFrame:
     Extra columns are ignored whatever they are called, also when they differ
     from a wanted name in case only or repeat it (the first one counts).
     """
+    ship_package(df.sparkSession)
     wanted = dict.fromkeys(names)
     wanted = {n: n for n in wanted} | renamed
     for name in wanted.values():

@@ -55,6 +55,8 @@ _HINTS = frozenset(
     " masthead footer comment comments disqus replies respond cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe"
     " signup social share sharing related recommended recommendations widget toolbar pagination pager login search copyright disclaimer".split()
 )
+#: Classes of articles that are not the main one.
+_OTHERS = frozenset("comment comments reply related recommended teaser promo ad advert advertisement sponsored".split())
 #: A start tag ends these open elements, up to the listed bounds.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 _CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -77,14 +79,15 @@ class Page:
             for key, value in _ATTRIBUTE.findall(more):
                 key, value = key.lower(), value.strip("\"'").lower()
                 if key in ("class", "id"):
-                    maybe |= not _HINTS.isdisjoint(_WORD.findall(value))
+                    # an article's own classes tell more than what it is ("comments-open"), so whole names count there
+                    maybe |= not (_OTHERS.isdisjoint(value.split()) if name in _MAIN else _HINTS.isdisjoint(_WORD.findall(value)))
                 elif key == "role":
                     maybe |= value in _ROLES
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                     never = True
         self.tag.append(name)
         self.parent.append(self.stack[-1])
-        self.maybe.append(maybe and name not in _MAIN)
+        self.maybe.append(maybe)
         self.never.append(never)
         return len(self.tag) - 1
 
@@ -169,10 +172,10 @@ class Page:
         for i in range(1, n):
             out[i] = out[i] or out[self.parent[i]]
         whole = self._counted(out)[0]
-        holds = [t in _MAIN for t in self.tag]
+        holds = [t in _MAIN and not m for t, m in zip(self.tag, self.maybe, strict=True)]
         for i in range(n - 1, 0, -1):
             holds[self.parent[i]] |= holds[i]
-        told = any(holds[i] and whole[i] and self.tag[i] in _MAIN and not out[i] for i in range(1, n))
+        told = any(whole[i] and self.tag[i] in _MAIN and not self.maybe[i] and not out[i] for i in range(1, n))
         for i in range(1, n):
             out[i] = out[i] or out[self.parent[i]] or (self.maybe[i] and not holds[i] and (told or 2 * whole[i] < whole[0]))
         chars, linked, tags, links = self._counted(out)

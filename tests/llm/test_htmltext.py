@@ -28,6 +28,7 @@ LONG = "A sentence of the main text that goes on for a while, with commas and al
         '<div id="header"><a>Home</a></div><div class="wrap"><div class="side-bar sidebar"><ul><li><a>one</a><li><a>two</a></ul></div>{}</div><div id=footer>Imprint</div>',
         '<div><form action="/s"><label>Search</label><input name=q><button>Go</button></form></div>{}<script>if (a<b) document.write("<p>no</p>")</script>',
         '<aside><p>Related: something else to read</p></aside>{}<section class="comments"><h3>Comments</h3><p>I do not agree at all with this, said a reader.</p></section>',
+        '{}<section id="comments"><article class="comment"><p>A reader writes this at some length, and more than once or twice.</p></article></section>',
         '<div class="cookie-notice"><p>We use cookies and so on, please accept them.</p></div>{}<style>p > a {{color: red}}</style><!-- <p>hidden</p> -->',
         '<div role="banner">Site</div><div hidden><p>Not shown to anyone who reads</p></div>{}<noscript>Turn it on</noscript>',
         "<header><h2>The site's name and motto</h2></header>{}<template><p>Later</p></template>",

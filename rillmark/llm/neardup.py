@@ -36,7 +36,7 @@ from .common import materialize, pick
 from .components import connected
 
 #: Words of a shingle, hashes of a region's first prefix, its longer prefixes (then all), and how likely a pair at the threshold may meet in no region.
-SHINGLE, DEPTH, DEEPER, MISS = 5, 4, (8, 16), 1e-4
+SHINGLE, DEPTH, DEEPER, MISS = 5, 4, (8, 16), 1e-5
 #: Most shingles (a node counts LEAST_WEIGHT at least) of a region that one task confirms.
 MAX_WEIGHT, LEAST_WEIGHT = 1_000_000, 500
 SALTS = 16

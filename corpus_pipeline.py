@@ -1,8 +1,13 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir), works on all rows it gets, and returns a
-DataFrame; all but the last return the columns of docs.  run() writes each stage's
-result as Parquet in the shared folder and reads it again for the next one.
+DataFrame; all but the last return the columns of docs, extra ones too.  run() writes
+each stage's result as Parquet in the shared folder and reads it again for the next one.
+
+Defined cases: null and empty texts fail the quality rules; rows of one id stay or go
+together, and rows without an id always stay, in near-duplicates; a text that is all
+benchmark stays as an empty one; sources and languages may be null; equal rows are
+mixed and sharded one by one; an empty table passes through every stage.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ Events have a time, a type and an ad; campaigns map ads to campaigns.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillmark.functions.scalar import ratio
@@ -75,11 +75,28 @@ def slices(events: DataFrame, **kwargs) -> DataFrame:
     return window_counts(events, wid="slice_id", **kwargs)
 
 
-def _full(windowed: DataFrame, sliced: DataFrame, placed: Column, keys: list[str], size: Column) -> DataFrame:
-    """The windows of which as many distinct slices as `size` are present; a slice is present if any campaign has a row in it."""
-    present = sliced.select("slice_id").distinct().withColumn("_w", F.explode(placed)).select("slice_id", "_w.*")
-    full = present.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(size).alias("_size")).filter(F.col("_n") == F.col("_size")).select(*keys)
-    return windowed.join(full, keys, "left_semi")
+#: Windows of up to this many slices tell which slices they have by the bits of a number.
+MASK_SLICES = 62
+
+
+def _full_windows(sliced: DataFrame, placed: Column, keys: list[str], most: int) -> DataFrame:
+    """Windows that add up slices, those of which every slice is present.
+
+    `placed` lists the windows of a slice: their keys, `bit` (the slice's place in
+    the window) and `size` (its slices).  A slice is present if any campaign has a
+    row in it, so each window and campaign notes its slices as bits, and the bits are
+    united over the campaigns of a window: the slices are read once.
+    """
+    spread = sliced.withColumn("_w", F.explode(placed)).select("_w.*", "slice_id", "c_id", "cnt", "max_event_time")
+    sums = [F.sum("cnt").alias("cnt"), F.max("max_event_time").alias("max_event_time")]
+    out = [*keys, "c_id", "cnt", "max_event_time"]
+    if most <= MASK_SLICES:
+        mask = F.bit_or(F.expr("shiftleft(1L, bit)")).alias("_mask")
+        windowed = spread.groupBy(*keys, "size", "c_id").agg(*sums, mask)
+        every = F.bit_or("_mask").over(Window.partitionBy(*keys))
+        return windowed.withColumn("_every", every).filter("_every = shiftleft(1L, size) - 1").select(*out)
+    full = spread.groupBy(*keys, "size").agg(F.count_distinct("slice_id").alias("_n")).filter("_n = size").select(*keys)
+    return spread.groupBy(*keys, "c_id").agg(*sums).join(full, keys, "left_semi").select(*out)
 
 
 def multi_query(sliced: DataFrame, queries: int = 4) -> DataFrame:
@@ -88,19 +105,16 @@ def multi_query(sliced: DataFrame, queries: int = 4) -> DataFrame:
     Every slice meets one window per query, so the shared slices are read once and
     grow by the number of queries.
     """
-    sizes = F.sequence(F.lit(1), F.lit(queries))
-    placed = F.transform(sizes, lambda n: F.struct(n.alias("query_id"), F.floor(F.col("slice_id") / n).cast("long").alias("wid")))
-    spread = sliced.withColumn("_w", F.explode(placed)).select("_w.*", "c_id", "cnt", "max_event_time")
-    windowed = spread.groupBy("query_id", "wid", "c_id").agg(F.sum("cnt").alias("cnt"), F.max("max_event_time").alias("max_event_time"))
-    return _full(windowed, sliced, placed, ["query_id", "wid"], F.col("query_id"))
+    place = lambda n: F.struct(
+        n.alias("query_id"), F.floor(F.col("slice_id") / n).cast("long").alias("wid"), F.pmod("slice_id", n.cast("long")).cast("int").alias("bit"), n.alias("size")
+    )
+    return _full_windows(sliced, F.transform(F.sequence(F.lit(1), F.lit(queries)), place), ["query_id", "wid"], queries)
 
 
 def sliding(sliced: DataFrame, length: int = 4) -> DataFrame:
     """(wid, c_id, cnt, max_event_time): windows of `length` slices, one starting at each slice, full ones only; batch."""
-    placed = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.struct((F.col("slice_id") - k).cast("long").alias("wid")))
-    spread = sliced.withColumn("_w", F.explode(placed)).select("_w.*", "c_id", "cnt", "max_event_time")
-    windowed = spread.groupBy("wid", "c_id").agg(F.sum("cnt").alias("cnt"), F.max("max_event_time").alias("max_event_time"))
-    return _full(windowed, sliced, placed, ["wid"], F.lit(length))
+    place = lambda k: F.struct((F.col("slice_id") - k).cast("long").alias("wid"), k.alias("bit"), F.lit(length).alias("size"))
+    return _full_windows(sliced, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), place), ["wid"], length)
 
 
 def window_latency(windowed: DataFrame, *, span_ms: int = SPAN_MS) -> DataFrame:

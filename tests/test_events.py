@@ -65,14 +65,18 @@ def slices(spark, rows):
     return spark.createDataFrame([(s, c, n, at(s)) for s, c, n in rows], "slice_id long, c_id int, cnt long, max_event_time timestamp_ntz")
 
 
-def test_sliding_needs_every_slice_of_any_campaign(spark):
+@pytest.mark.parametrize("mask", [62, 0])
+def test_sliding_needs_every_slice_of_any_campaign(spark, monkeypatch, mask):
+    monkeypatch.setattr(ev, "MASK_SLICES", mask)
     # slice 3 is absent for campaign 1 only, slice 6 for all
     made = slices(spark, [(1, 1, 1), (2, 1, 2), (3, 2, 4), (4, 1, 8), (5, 1, 16), (7, 1, 32)])
     found = {(r["wid"], r["c_id"]): r["cnt"] for r in ev.sliding(made, 3).collect()}
     assert found == {(1, 1): 3, (1, 2): 4, (2, 1): 10, (2, 2): 4, (3, 1): 24, (3, 2): 4}
 
 
-def test_multi_query_has_full_tumbling_windows(spark):
+@pytest.mark.parametrize("mask", [62, 0])
+def test_multi_query_has_full_tumbling_windows(spark, monkeypatch, mask):
+    monkeypatch.setattr(ev, "MASK_SLICES", mask)
     made = slices(spark, [(2, 1, 1), (3, 2, 2), (4, 1, 4), (6, 1, 8), (7, 1, 16), (8, 1, 32)])
     found = {(r["query_id"], r["wid"], r["c_id"]): r["cnt"] for r in ev.multi_query(made, 3).collect()}
     assert {k: v for k, v in found.items() if k[0] == 1} == {(1, s, c): n for s, c, n in [(2, 1, 1), (3, 2, 2), (4, 1, 4), (6, 1, 8), (7, 1, 16), (8, 1, 32)]}
@@ -113,3 +117,11 @@ def test_time_does_not_depend_on_the_session_zone(spark):
 def test_hex_prefix(spark):
     row = spark.createDataFrame([("ffffffff-1-2", "0000000a-0-0")], "a string, b string").select(hex_prefix("a"), hex_prefix("b")).first()
     assert tuple(row) == (4294967295, 10)
+
+
+def test_slices_are_read_once(spark, tiny):
+    from rillmark.plans.catalogue import QUERIES
+
+    for name in ("ysb_multi_query", "ysb_sliding"):
+        plan = QUERIES[name](spark, tiny)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("= click)") == 1 and plan.count("Relation [event_id") == 1

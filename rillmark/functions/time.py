@@ -14,10 +14,17 @@ SPAN_MS = 10_000
 _EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
 
 
+def _epoch(ts: Column | str, per_second: int) -> Column:
+    # by the fields of the local time: a difference of timestamps would pass through the session's zone and its gaps
+    column = F.col(ts) if isinstance(ts, str) else ts
+    of_day = (F.hour(column) * 3600 + F.minute(column) * 60).cast("long") * per_second
+    seconds = (F.date_part(F.lit("SECOND"), column) * per_second).cast("long")
+    return F.unix_date(column.cast("date")).cast("long") * (86_400 * per_second) + of_day + seconds
+
+
 def epoch_ms(ts: Column | str) -> Column:
     """Milliseconds since 1970-01-01 of a TIMESTAMP_NTZ."""
-    column = F.col(ts) if isinstance(ts, str) else ts
-    return F.floor(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), column) / 1000)
+    return _epoch(ts, 1000)
 
 
 def window_id(ts: Column | str, span_ms: int = SPAN_MS) -> Column:
@@ -33,8 +40,7 @@ def hex_prefix(text: Column | str) -> Column:
 
 def instant(ts: Column | str) -> Column:
     """The TIMESTAMP at which a clock of UTC shows the TIMESTAMP_NTZ, in any session time zone."""
-    column = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr(_EPOCH), column))
+    return F.timestamp_micros(_epoch(ts, 1_000_000))
 
 
 def plain_time(ts: Column | str) -> Column:

@@ -101,15 +101,17 @@ def test_empty_inputs(spark, campaigns):
 
 
 def test_time_does_not_depend_on_the_session_zone(spark):
-    made = events(spark, [(0, 1, "click")])
+    spring = int((datetime(2024, 3, 10, 2, 30) - START).total_seconds() * 1000)  # skipped in New York
+    made = events(spark, [(0, 1, "click"), (spring, 1, "click"), (-1, 1, "click")])
     zone = spark.conf.get("spark.sql.session.timeZone")
     try:
         found = []
         for z in ("UTC", "America/New_York"):
             spark.conf.set("spark.sql.session.timeZone", z)
-            row = made.select(epoch_ms("ts").alias("e"), window_id("ts", SPAN).alias("w"), plain_time(instant("ts")).alias("t")).first()
-            found.append((row["e"], row["w"] - BASE, row["t"]))
-        assert found[0] == found[1] == (BASE * SPAN, 0, START)
+            rows = made.select(epoch_ms("ts").alias("e"), window_id("ts", SPAN).alias("w"), plain_time(instant("ts")).alias("t")).collect()
+            found.append([(r["e"], r["w"] - BASE, r["t"]) for r in rows])
+        expected = [(BASE * SPAN + ms, ms // SPAN, at(ms)) for ms in (0, spring, -1)]
+        assert found[0] == found[1] == expected
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
 

@@ -147,13 +147,13 @@ def op3_shard(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH own AS (
-  SELECT doc_id, coalesce(text, '') AS x, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+WITH own AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
          CAST('0x' || substr(md5(coalesce(text, '')), 1, 15) AS BIGINT) AS k FROM documents),
 crc AS (
   SELECT *, xor(list_reduce(
       list_transform(range(0, 2 * (size - 1)),
-        lambda i: CAST(strpos('0123456789ABCDEF', substr(hex(encode(x)), CAST(i + 2 - 2 * (i % 2) AS BIGINT), 1)) - 1 AS BIGINT)),
+        lambda i: CAST(strpos('0123456789ABCDEF', substr(h, CAST(i + 2 - 2 * (i % 2) AS BIGINT), 1)) - 1 AS BIGINT)),
       lambda c, n: xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
         3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][CAST((xor(c, n) & 15) + 1 AS BIGINT)]),
       CAST(4294967295 AS BIGINT)), CAST(4294967295 AS BIGINT)) AS text_crc32 FROM own),

@@ -24,13 +24,20 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Rows of a file, where a table's rows are known.
+FILE_ROWS = 100_000
+
+
+def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Write df to shared storage and read it back.
 
-    Cuts the lineage; the rows survive the loss of any executor.
+    Cuts the lineage; the rows survive the loss of any executor.  Where about so many
+    `rows` are known, they are written by no more tasks than they need.
     """
     spark = df.sparkSession
     path = scratch(spark)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

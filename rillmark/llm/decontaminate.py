@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import carried, materialize, pick
 
 #: Words of a test phrase, words of a shard's index, distance of sampled suffixes, and bytes of test texts per block.
-WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 1_000_000, 16, 16 << 20
+WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 500_000, 16, 16 << 20
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of other characters, and blanks the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -250,8 +250,8 @@ def scan(texts: list[bytes], phrases: Phrases, shard_words: int = SHARD_WORDS) -
         yield number, n, _union(spans), sorted(names)
 
 
-def _scanned(phrases, shard_words: int):
-    """Rows of the same text within a shard's worth of input are searched once."""
+def _scanned(phrases, shard_words: int, remove: bool = False):
+    """Rows of the same text within a shard's worth of input are searched once; with `remove`, hits go from the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -266,7 +266,10 @@ def _scanned(phrases, shard_words: int):
                 own = [found[k] for k in numbers[i : i + b.num_rows]]
                 i += b.num_rows
                 spans = pa.array([[{"start": x, "end": y} for x, y in f[2]] for f in own], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-                arrays = [b.column(0), b.column(1), pa.array([f[1] for f in own], pa.int64()), spans, pa.array([f[3] for f in own], pa.list_(pa.string()))]
+                texts = b.column(1)
+                if remove:
+                    texts = pa.array([_without(t, s) if (s := f[2]) else t for t, f in zip(texts.to_pylist(), own, strict=True)], pa.binary())
+                arrays = [b.column(0), texts, pa.array([f[1] for f in own], pa.int64()), spans, pa.array([f[3] for f in own], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["carried", "text", "n_words", "spans", "items"])
             held.clear()
 
@@ -303,8 +306,12 @@ def find_contamination(
     shard_words: int = SHARD_WORDS,
     block_bytes: int = BLOCK_BYTES,
     carry: Sequence[str] = (),
+    remove: bool = False,
 ) -> DataFrame:
-    """Per row of docs: doc_id, text, n_words, spans (merged word ranges [start, end) to remove), items (names, sorted), `carry` as c_0, c_1 and so on."""
+    """Per row of docs: doc_id, text, n_words, spans (merged word ranges [start, end) to remove), items (names, sorted), `carry` as c_0, c_1 and so on.
+
+    With `remove`, the text comes without its hits.
+    """
     plain = pick(docs, doc_id=id_col, text=text_col, **carried(carry))
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = plain.select(F.struct("doc_id", *carried(carry)).alias("carried"), text.alias("text"))
@@ -316,7 +323,7 @@ def find_contamination(
     schema = f"carried struct<{inner}>, text binary, n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
     blocks = [sc.broadcast(Phrases(block, window)) for block in _blocks(items, block_bytes)] or [sc.broadcast(Phrases([], window))]
     if len(blocks) == 1:
-        found = rows.mapInArrow(_scanned(blocks[0], shard_words), schema)
+        found = rows.mapInArrow(_scanned(blocks[0], shard_words, remove), schema)
     else:
         # each block is a pass; its hits alone are kept, and meet the rows by a digest of their content
         key = F.unhex(F.md5(F.col("text")))
@@ -335,18 +342,18 @@ def find_contamination(
         found = plain_rows.join(hits, "key", "left").select(
             "carried", "text", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
         )
-    return found.select("carried.*", F.col("text").cast("string").alias("text"), "n_words", "spans", "items")
+    found = found.select("carried.*", F.col("text").cast("string").alias("text"), "n_words", "spans", "items")
+    return cleaned(found) if remove and len(blocks) > 1 else found
 
 
-def remove_spans(text: str, spans: list) -> str:
+def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
-    data = text.encode()
     at = [m.span() for m in _WORD.finditer(data)]
     kept, last = [], 0
-    for s in spans:
-        kept.append(data[last : at[s["start"]][0]])
-        last = at[s["end"] - 1][1]
-    return b"".join([*kept, data[last:]]).decode()
+    for start, end in spans:
+        kept.append(data[last : at[start][0]])
+        last = at[end - 1][1]
+    return b"".join([*kept, data[last:]])
 
 
 def cleaned(found: DataFrame) -> DataFrame:
@@ -355,7 +362,7 @@ def cleaned(found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             i, j = batch.schema.get_field_index("text"), batch.schema.get_field_index("spans")
-            texts = [remove_spans(t, s) if s else t for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
+            texts = [_without(t.encode(), [(x["start"], x["end"]) for x in s]).decode() if s else t for t, s in zip(batch.column(i).to_pylist(), batch.column(j).to_pylist(), strict=True)]
             yield batch.set_column(i, "text", pa.array(texts, pa.string()))
 
     return found.mapInArrow(run, found.schema)

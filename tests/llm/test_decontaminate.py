@@ -53,6 +53,9 @@ def test_cleaned_texts(spark, make_docs):
     found = {r["doc_id"]: r["text"] for r in d.cleaned(d.find_contamination(make_docs(texts()), benchmark)).collect()}
     plain = contamination(texts(), ITEMS)
     assert found == {i: decontaminated(t or "", plain[i][1]) for i, t in texts()}
+    for block_bytes in (1 << 20, 100):
+        removed = d.find_contamination(make_docs(texts()), benchmark, remove=True, block_bytes=block_bytes)
+        assert {r["doc_id"]: r["text"] for r in removed.collect()} == found
     assert found[1] == "x  y" and found[3] == "a ; item"
 
 

@@ -34,11 +34,12 @@ def connected(edges: DataFrame) -> DataFrame:
     stars = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") > F.col("v")).distinct()
     stars = materialize(stars)
     state = None
+    # a large star of n edges has n at most, and a small star of those as many again
     while True:
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state or now[0] == 0:
             break
         state = now
-        stars = materialize(_star(materialize(_star(stars, True)), False))
+        stars = materialize(_star(materialize(_star(stars, True), now[0]), False), 2 * now[0])
     label = stars.groupBy("u").agg(F.min("v").alias("label")).select(F.col("u").alias("node"), "label")
-    return materialize(label.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()))
+    return materialize(label.unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()), 2 * now[0])

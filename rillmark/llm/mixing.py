@@ -23,6 +23,8 @@ from .common import carried, materialize, pick, unit_hash, words
 #: Sources up to this number are broadcast (some 100 bytes each); more are joined by a salted shuffle.
 BROADCAST_SOURCES = 20_000
 SALTS = 32
+#: Tasks that write the table of sources.
+SOURCE_TASKS = 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: float = 3.0, share: float = 1.0) -> DataFrame:
@@ -77,7 +79,7 @@ def mix(
         *extra,
     )
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = materialize(source_targets(materialize(sizes), weights, cap, share))
+    targets = materialize(source_targets(materialize(sizes.coalesce(SOURCE_TASKS)), weights, cap, share))
     targets = targets.select(F.col("source").alias("_source"), "source_size", "target")
     if targets.count() <= broadcast_sources:
         met = own.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("_source")))

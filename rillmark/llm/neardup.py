@@ -38,14 +38,14 @@ from .components import connected
 #: Words of a shingle, hashes of a region's first prefix, its longer prefixes (then all), and how likely a pair at the threshold may meet in no region.
 SHINGLE, DEPTH, DEEPER, MISS = 5, 4, (8, 16), 1e-5
 #: Most shingles (a node counts LEAST_WEIGHT at least) of a region that one task confirms.
-MAX_WEIGHT, LEAST_WEIGHT = 1_000_000, 500
+MAX_WEIGHT, LEAST_WEIGHT = 400_000, 300
 SALTS = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -120,24 +120,28 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Boolean matrix: 100 * intersection >= percent * union, exactly."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
-    ids, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner = np.repeat(np.arange(n), sizes)
+    _, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     shared = df[inverse] > 1
     place = np.cumsum(df > 1) - 1  # shingles of one set alone are in no intersection
-    column, owner = place[inverse[shared]], owner[shared]
+    column, owner = place[inverse[shared]].astype(np.int32), owner[shared]
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     both = np.zeros((n, n), np.float32)
     width = int((df > 1).sum())
-    step = min(width, max(256, 8_000_000 // n))
+    step = min(width, max(256, 2_000_000 // n))
     for low in range(0, width, step or 1):
         i, j = np.searchsorted(column, [low, low + step])
         block = np.zeros((n, step), np.float32)
         block[owner[i:j], column[i:j] - low] = 1
         both += block @ block.T
-    both = np.rint(both).astype(np.int64)
+    both = np.rint(both).astype(np.int32)
     np.fill_diagonal(both, sizes)
-    return 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    # 100 * both >= percent * (a + b - both)
+    least = (percent * sizes).astype(np.int32)
+    both *= 100 + percent
+    both -= least[:, None]
+    return both >= least[None, :]
 
 
 def _stars(percent: int):
@@ -260,15 +264,14 @@ def near_duplicates(
     if rest:
         chunk = F.floor(F.conv(F.substring(F.hex("node"), 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col("all") / F.lit(max_weight // 2)))
         members = members.unionByName(heavy.select(F.xxhash64("key", F.lit("c"), chunk).alias("key"), "node"))
-    members = materialize(members)
     wanted = members.select("node").unionByName(first.select("node")).distinct().join(nodes.select("node", "doc_id"), "node")
     rows_of = plain.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    # written, so that the shuffled texts can go before the sets are dealt
     sets = materialize(rows_of.mapInArrow(_sets(shingle), "node binary, shingles binary").dropDuplicates(["node"]))
-    edges = materialize(_confirm(members, sets, percent))
-    labels = connected(edges)
+    labels = connected(_confirm(members, sets, percent))
     if any_heavy:
-        edges = edges.unionByName(_confirm(_left_apart(first, labels, max_weight), sets, percent))
-        labels = connected(edges)
+        found = _confirm(_left_apart(first, labels, max_weight), sets, percent)
+        labels = connected(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     named = base.select("doc_id", "n_shingles", "node").withColumn("salt", salt)

@@ -32,8 +32,8 @@ from .common import carried, materialize, pick, words
 STATISTICS = {"length": 0.7, "word": 0.1, "symbol": 0.4, "lines": 0.7, "repeat": 0.7, "capital": 0.25}
 #: Least members of a group, share that an estimate is fitted on, steps, and the squared distance that rejects (the 99.5 % point of chi2_6).
 MIN_GROUP, SUPPORT, STEPS, CUTOFF = 200, 0.75, 4, 18.548
-#: Tables of more groups than this are joined by a shuffle.
-BROADCAST_GROUPS = 50_000
+#: Tables of more groups than this are joined by a shuffle; tasks that write one.
+BROADCAST_GROUPS, GROUP_TASKS = 50_000, 16
 #: Fixed-point units of the statistics, and bins of the distance histogram per doubling.
 UNIT, BINS = 1000, 64
 #: Consistency of the covariance of the nearest 75 % in six dimensions: 0.75 / P(chi2_8 <= q), q the 75 % point of chi2_6.
@@ -112,7 +112,7 @@ def _vector() -> dict[str, Column]:
 
 def _small(groups: DataFrame) -> DataFrame:
     """A table with a row per group, written; told to all tasks if it has few rows (some 300 bytes each), so that hot groups stay where they are."""
-    written = materialize(groups)
+    written = materialize(groups.coalesce(GROUP_TASKS))
     return F.broadcast(written) if written.count() <= BROADCAST_GROUPS else written
 
 
@@ -139,7 +139,7 @@ def _grouped(table: DataFrame, min_group: int) -> DataFrame:
 def _start(x: DataFrame, dims: list[str]) -> DataFrame:
     """Per group: median m_<d> and spread s_<d> of each dimension, from histograms in units of 0.02."""
     long = x.select("g", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.round(F.col(d) / 20).cast("long").alias("q")) for d in dims])).alias("e"))
-    seen = materialize(long.groupBy("g", "e.d", "e.q").agg(F.count("*").alias("n")))
+    seen = materialize(long.groupBy("g", "e.d", "e.q").agg(F.count("*").alias("n")).coalesce(2 * GROUP_TASKS))
 
     def median(hist: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("g", "d").orderBy("q")

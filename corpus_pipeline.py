@@ -36,7 +36,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, passages of the benchmark removed from their texts; n_chars follows the text."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.cleaned(decontaminate.find_contamination(docs, benchmark, carry=docs.columns))
+    found = decontaminate.find_contamination(docs, benchmark, carry=docs.columns, remove=True)
     hit = F.size("spans") > 0
     new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
     held = carried(docs.columns).items()

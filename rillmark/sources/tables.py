@@ -13,11 +13,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def event_stream(spark: SparkSession, folder: str, name: str = "events", *, ts_col: str = "ts", files_per_batch: int = 64, late: str = "0 seconds") -> DataFrame:
     """The table's files as a stream with a watermark on its event time, which becomes a TIMESTAMP of UTC."""
     schema = table(spark, folder, name).schema
     read = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    live = read.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    path = f"{folder}/{name}.parquet"
+    # a stream reads folders only: a table of one file is picked from the folder it lies in
+    live = read.parquet(path) if _is_folder(spark, path) else read.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
     return live.withColumn(ts_col, instant(ts_col)).withWatermark(ts_col, late)
 
 

@@ -71,6 +71,20 @@ def test_event_stream_reads_one_table_of_a_folder(spark, tiny):
     assert live.isStreaming and dict(live.dtypes)["ts"] == "timestamp"
 
 
+def test_event_stream_reads_a_table_of_many_files(spark, tmp_path):
+    folder = str(tmp_path)
+    for i in range(3):
+        write(spark, folder, i, [(i * 30_000 + k * 10_000, k, "click") for k in range(4)])
+    write(spark, f"{folder}/other", 0, [(0, 99, "view")])
+    live = finish(event_stream(spark, folder).select("ts", "user_id"))
+    assert sorted(tuple(r) for r in in_utc(live, "ts").collect()) == sorted(tuple(r) for r in spark.read.parquet(f"{folder}/events.parquet").select("ts", "user_id").collect())
+    assert live.count() == 12
+
+
+def test_event_stream_reads_a_table_of_one_file(spark, tiny):
+    assert finish(event_stream(spark, tiny).select("ts")).count() == spark.read.parquet(f"{tiny}/events.parquet").count()
+
+
 def test_latency_sink_and_rates_of_generated_events(spark):
     live = generate_stream(spark, 50).withColumnRenamed("event_time", "ts").withWatermark("ts", "0 seconds")
     counted = ev.window_counts(ev.join_campaign(live.select("ts", "ad_id"), campaigns(spark), ad_col="ad_id"), span_ms=1000)

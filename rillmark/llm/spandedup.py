@@ -33,7 +33,7 @@ from .common import join_hot, materialize, pick
 from .linededup import MAX_BITS, filter_bits, held, key_id, row_key, seen_twice
 
 #: Least sentences and words of a run, and the words that make a run of any number of sentences.
-RUN, RUN_WORDS, LONG_WORDS = 3, 25, 50
+RUN, RUN_WORDS, LONG_WORDS = 2, 16, 50
 #: Bytes of text per run, to size the filter.
 BYTES_PER_RUN = 64
 #: A sentence ends with a line, or after . ! ? (and the full-width full stop) before white space.

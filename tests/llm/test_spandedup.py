@@ -63,6 +63,16 @@ def test_one_long_sentence_is_a_run(make_docs):
     assert found == {1: f"A b. {long} C d.", 2: "E f. G h."}
 
 
+@pytest.mark.parametrize("sizes", [(12, 12), (20, 25), (6, 6, 5)])
+def test_passages_that_begin_and_end_within_sentences(make_docs, sizes):
+    whole = " ".join(" ".join(f"p{k}x{j}" for j in range(n)) + "." for k, n in enumerate(sizes))
+    shared = " ".join(f"h{k}" for k in range(20)) + ". " + whole + " " + " ".join(f"t{k}" for k in range(20))
+    docs = make_docs([(i, f"Own{i} start {shared} end own{i}. Few words. Again few.") for i in (1, 2)])
+    found = {r["doc_id"]: (r["n_removed"], r["repeats_of"], r["text"]) for r in s.span_dedup(docs).collect()}
+    kept = f"Own2 start {shared} end own2. Few words. Again few.".replace(" " + whole, "")
+    assert found[1][0] == 0 and found[2] == (len(sizes), [1], kept)
+
+
 @pytest.mark.parametrize("bits", [1 << 16, 1 << 28])
 def test_hot_run_and_full_filter(make_docs, bits):
     rows = [(i, f"{passage('own' + str(i), 3)} {passage('hot') if i % 2 else ''}") for i in range(300)]

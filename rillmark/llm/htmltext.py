@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from .common import pick
 
 _TAG = re.compile(r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<end>/)?(?P<name>[a-zA-Z][^\s/>]*)(?P<more>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>|[!?][^>]*>)""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: Name and value of an attribute; a value is read whole, so that nothing in it counts as a name.
+_ATTRIBUTE = re.compile(r"""([^\s/>=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?""")
 _WORD = re.compile(r"[a-z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Their content is text up to their end tag, and never main text.

@@ -42,6 +42,26 @@ def test_what_stands_around_the_text_is_left_out(around, inner):
     assert main_text(page) == "\n\n".join(["Title & more", line, line, "Short. <b>", line, line])
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    [
+        ' data-title="Hidden figures"', " title='what hidden, style=display:none'", ' href="/hidden-lake"', " href=/a/hidden", ' href="/post?id=login"', ' data-role="search"', ' data-class="sidebar" data-id=nav',
+        ' alt = "role=navigation"', ' lang="en"data-hidden', " x-hidden y-style='display:none'",
+    ],
+)
+def test_only_whole_names_of_attributes_count(attributes):
+    line = " ".join(LONG.split())
+    for tag in ("article", "p", "section"):
+        assert main_text(f"<article><p>{LONG}</p><{tag}{attributes}>{LONG}</{tag}><p>{LONG}</p></article>") == "\n\n".join([line] * 3)
+    assert main_text(f"<article><p>{LONG} <a{attributes}>link text</a> {LONG}</p></article>") == f"{line} link text {line}"
+
+
+@pytest.mark.parametrize("attributes", [" hidden", " HIDDEN=''", ' title="a b" hidden', ' a=1 aria-hidden = "true"', " style='color:red; display : none'", ' title="x"class="sidebar"', " data-a='x' role=search", " id=nav"])
+def test_attributes_that_leave_an_element_out(attributes):
+    line = " ".join(LONG.split())
+    assert main_text(f"<article><p>{LONG}</p><div{attributes}>Something else</div><p>{LONG}</p></article>") == f"{line}\n\n{line}"
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

@@ -167,7 +167,7 @@ def _moments(x: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def _estimate(moments: DataFrame, dims: list[str]) -> DataFrame:
-    """Per group: mean m_<d> and the Cholesky factor l_<a>_<b> of the covariance, its variances no less than the floors."""
+    """Per group: mean m_<d> and the Cholesky factor l_<a>_<b> of the covariance, the square of its floor added to each variance."""
     out = moments.select(
         "g",
         *[(F.col(f"t_{d}") / F.col("n")).alias(f"m_{d}") for d in dims],

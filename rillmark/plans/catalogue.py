@@ -282,6 +282,15 @@ def rel_smj_composite(spark, d):
     return rel.join(left, right, [("partkey", "p2"), ("suppkey", "s2")], ["left_order", "right_order", "partkey", "suppkey"])
 
 
+@query("""SELECT a.l_orderkey AS left_order, a.l_linenumber AS left_line, b.l_orderkey AS right_order, b.l_linenumber AS right_line,
+       a.l_partkey AS partkey, a.l_suppkey AS suppkey FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey""")
+def rel_smj_composite_all(spark, d):
+    lines = table(spark, d, "lineitem")
+    left = lines.selectExpr("l_orderkey as left_order", "l_linenumber as left_line", "l_partkey as partkey", "l_suppkey as suppkey")
+    right = lines.selectExpr("l_orderkey as right_order", "l_linenumber as right_line", "l_partkey as p2", "l_suppkey as s2")
+    return rel.join(left, right, [("partkey", "p2"), ("suppkey", "s2")], ["left_order", "left_line", "right_order", "right_line", "partkey", "suppkey"])
+
+
 @query("""SELECT o_orderkey, l_linenumber, o_totalprice, l_extendedprice FROM orders JOIN lineitem ON o_orderkey = l_orderkey
        WHERE o_totalprice > 200000 AND l_quantity < 25""")
 def rel_smj_cond_project(spark, d):

@@ -38,6 +38,15 @@ def test_filters_and_columns_reach_the_scan(spark, tiny):
     assert "props" not in plan and "BroadcastHashJoin" in plan
 
 
+def test_composite_join_meets_every_line(spark, tiny):
+    pairs = QUERIES["rel_smj_composite_all"](spark, tiny).cache()
+    lines = spark.read.parquet(f"{tiny}/lineitem.parquet")
+    assert pairs.filter("left_order = right_order and left_line = right_line").count() >= lines.count()
+    first_two = pairs.filter("left_line = 1 and right_line = 2").select("left_order", "right_order", "partkey", "suppkey")
+    assert sorted(first_two.collect()) == sorted(QUERIES["rel_smj_composite"](spark, tiny).collect())
+    assert pairs.filter("left_line > 2 and right_line > 2 and left_order < right_order").count() > 0
+
+
 def test_generated_events(spark):
     from rillmark.sources.generator import generate
 

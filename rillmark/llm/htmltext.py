@@ -9,8 +9,9 @@ with characters C, tags T, link characters LC and link tags LT (each 1 at least)
 and b the body.  Of every node the densities of its children are summed; the node
 of the greatest sum is the main text (or the article or main element around it),
 and the least density on its path from the body is the threshold at which other
-subtrees beside the path are taken as well, each at its node of the greatest sum
-(only other articles, if the page marks them).
+subtrees beside the path are taken as well, each at its node of the greatest sum.
+Where an article or main element was taken around a denser node, those beside it
+must be such elements themselves or have as many characters per tag.
 
 Elements that never are main text are left out before: by their tag, their role,
 or words of their class and id, the latter two only while they hold no article and,
@@ -206,8 +207,10 @@ class Page:
             if not out[i] and total[top[i]] > total[top[p]]:
                 top[p] = top[i]
         on_path = set(path)
+        # beside a marked element around the densest node: other such elements, and what has as many characters a tag
+        full = [main == best or self.tag[i] in _MAIN or chars[i] * max(1, tags[main]) >= chars[main] * max(1, tags[i]) for i in range(n)]
         for i in range(1, n):
-            if not out[i] and i not in on_path and self.parent[i] in on_path and density[i] >= max(least, 1e-9) and (main == best or self.tag[i] in _MAIN):
+            if not out[i] and i not in on_path and self.parent[i] in on_path and density[i] >= max(least, 1e-9) and full[i]:
                 chosen.add(top[i] if total[top[i]] > density[i] else i)
         taken = [i in chosen for i in range(n)]
         for i in range(1, n):

@@ -62,6 +62,16 @@ def test_attributes_that_leave_an_element_out(attributes):
     assert main_text(f"<article><p>{LONG}</p><div{attributes}>Something else</div><p>{LONG}</p></article>") == f"{line}\n\n{line}"
 
 
+@pytest.mark.parametrize("main", ["article", "main"])
+def test_dense_text_beside_an_article_that_holds_the_densest_node(main):
+    line = " ".join(LONG.split())
+    inner = f"<{main}><div><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></{main}>"
+    little = "<div><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div>{}<div><p>Made by the company of this site.</p></div>"
+    assert main_text(f"<div><p>Lead. {LONG}</p>{inner}<p>Tail. {LONG}</p></div>") == "\n\n".join([f"Lead. {line}", line, line, line, f"Tail. {line}"])
+    assert main_text(little.format(f"<div><p>Lead. {LONG}</p>{inner}</div>")) == "\n\n".join([f"Lead. {line}", line, line, line])
+    assert main_text(little.format(inner)) == "\n\n".join([line] * 3)
+
+
 @pytest.mark.parametrize(
     "page, text",
     [

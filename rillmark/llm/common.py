@@ -11,6 +11,8 @@ from rillmark.storage import materialize, scratch, ship_package
 
 __all__ = ["WHITE", "WHITE_RE", "carried", "join_hot", "materialize", "pick", "scratch", "unit_hash", "words"]
 
+#: A key of fewer rows than this is never hot.
+HOT_ROWS = 10_000
 #: The six ASCII white-space characters that separate words.
 WHITE = " \t\n\x0b\x0c\r"
 WHITE_RE = r"[\x20\x09-\x0D]+"
@@ -49,7 +51,7 @@ def unit_hash(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def join_hot(left: DataFrame, right: DataFrame, on: str, rows: str, spread: str, total: int, how: str = "inner", salts: int = 32) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, on: str | Sequence[str], rows: str, spread: str, total: int, how: str = "inner", salts: int = 32) -> DataFrame:
     """Join left to right, whose `on` is unique, so that no hot key lands in one task.
 
     `rows` is right's count of left rows of a key.  Keys of a thousandth of the
@@ -57,9 +59,10 @@ def join_hot(left: DataFrame, right: DataFrame, on: str, rows: str, spread: str,
     left rows are dealt over `salts` by a hash of column `spread`, and their right
     row is repeated for each.
     """
-    least = max(10_000, -(-total // 1000))
-    hot = right.filter(F.col(rows) >= least).select(F.col(on).alias("_hot"))
-    dealt = left.join(F.broadcast(hot), F.col(on) == F.col("_hot"), "left")
-    dealt = dealt.withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts))).cast("int")).drop("_hot")
+    keys = [on] if isinstance(on, str) else list(on)
+    least = max(HOT_ROWS, -(-total // 1000))
+    hot = right.filter(F.col(rows) >= least).select(*[F.col(k).alias(f"_hot{i}") for i, k in enumerate(keys)])
+    dealt = left.join(F.broadcast(hot), [F.col(k) == F.col(f"_hot{i}") for i, k in enumerate(keys)], "left")
+    dealt = dealt.withColumn("_salt", F.when(F.col("_hot0").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.lit(salts))).cast("int")).drop(*hot.columns)
     every = F.when(F.col(rows) >= least, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(right.withColumn("_salt", F.explode(every)), [on, "_salt"], how).drop("_salt")
+    return dealt.join(right.withColumn("_salt", F.explode(every)), [*keys, "_salt"], how).drop("_salt")

@@ -1,21 +1,25 @@
 """Substring dedup by sliding sentence spans.
 
-Every run of several consecutive sentences is hashed: from each sentence onward,
-and back from each, the shortest run of at least RUN sentences and RUN_WORDS words
-(a run of LONG_WORDS words needs no more sentences).  Runs in both directions make
-the ends of a repeated passage covered as exactly as its middle.  Runs that occur
-more than once anywhere are joined globally, and every sentence that a run covers
-which isn't its first occurrence is removed.
-
-As runs are about as many as sentences, a bounded filter of runs seen twice (the
-same as for lines) lets only suspected repeats through to the shuffle, where counts
-are exact.  Counts and first occurrences are pre-aggregated; occurrences of a hot
-run are salted.
-
-Defined cases: null and blank texts have no sentences and stay; texts shorter than
-a run have none; rows alike in id and text count as one; a run that recurs in one
-document counts like one in two; first is the least id (null before all), then the
-place in the text; an empty table gives no rows.
+Texts are read as sentences (those of less than SENTENCE words go with the one
+before), and long ones are cut to pieces of PIECE words at most: of any PIECE
+consecutive words, one begins a piece, the first word of a short sentence if there is
+one, else that of the least hash (the last of equals).  So a passage keeps its inner
+division wherever it is cut out or put in.  Every run of several consecutive
+pieces is hashed: from each piece onward, and back from each, the shortest run of at
+least RUN_WORDS words.  Runs that more than one document holds are joined globally,
+and pieces that such runs cover, LEAST_WORDS in a row at least, go from all but the
+first.  A passage of RUN_WORDS + 3 * PIECE + 1 words (51) that two documents share
+always holds runs that both hash, and goes up to PIECE words (14 at its end).
+
+Run counts and first holders are pre-aggregated; occurrences of a hot run are
+salted, and so are the texts of a hot row.  Nothing is broadcast but the hottest keys.
+
+Defined cases: null and blank texts have no pieces and stay; texts shorter than a
+run have none; rows of one id are one document (of a null id, those of one text); a
+run that recurs in one document only is no repeat (repeated lines and words are the
+quality rules' matter), and its first holder keeps all its occurrences; first is the
+least id, null before all (integer ids below -2^62 are taken for null), then the least
+hash of the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,116 +30,228 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import join_hot, materialize, pick
-from .linededup import MAX_BITS, filter_bits, held, key_id, row_key, seen_twice
-
-#: Least sentences and words of a run, and the words that make a run of any number of sentences.
-RUN, RUN_WORDS, LONG_WORDS = 2, 16, 50
-#: Bytes of text per run, to size the filter.
-BYTES_PER_RUN = 64
-#: A sentence ends with a line, or after . ! ? (and the full-width full stop) before white space.
-_END = re.compile(rb"[.!?]+(?=[ \t\n\x0b\x0c\r])|\xe3\x80\x82|\n")
-_BLANK = b" \t\n\x0b\x0c\r"
-
-
-def sentences(text: bytes | None) -> list[tuple[int, int]]:
-    """(start, end) of each sentence with a word; what has none belongs to the sentence before it, or to the first."""
-    data = text or b""
-    out, start = [], 0
-    for end in [*[m.end() for m in _END.finditer(data)], len(data)]:
-        if data[start:end].strip(_BLANK):
-            out.append((start, end))
-            start = end
-    if out and start < len(data):
-        out[-1] = (out[-1][0], len(data))
-    return out
-
-
-def runs(counts: list[int]) -> list[tuple[int, int]]:
-    """The distinct (first, last) sentences of the runs of a text whose sentences have so many words."""
-    n = len(counts)
-    total = np.concatenate([[0], np.cumsum(counts)])
-    start, end = np.arange(n), np.arange(1, n + 1)
-    # onward: the shortest run from each sentence; `to` is where it ends
-    to = np.minimum(np.searchsorted(total, total[:-1] + LONG_WORDS), np.maximum(np.searchsorted(total, total[:-1] + RUN_WORDS), start + RUN))
-    # back: the shortest run that ends before each `end`
-    since = np.maximum(np.searchsorted(total, total[1:] - LONG_WORDS, "right") - 1, np.minimum(np.searchsorted(total, total[1:] - RUN_WORDS, "right") - 1, end - RUN))
-    onward, back = to <= n, since >= 0
-    return sorted({*zip(start[onward].tolist(), (to[onward] - 1).tolist(), strict=True), *zip(since[back].tolist(), (end[back] - 1).tolist(), strict=True)})
-
-
-def _digests(text: bytes | None) -> tuple[list[tuple[int, int]], list[bytes]]:
-    low = (text or b"").lower()
-    own = [low[a:b].split() for a, b in sentences(low)]
-    if not own:
-        return [], []
-    joined = [b" ".join(w) for w in own]
-    whole, at = b" ".join(joined), [0]
-    for j in joined:
-        at.append(at[-1] + len(j) + 1)
-    spans = runs([len(w) for w in own])
-    return spans, [xxhash.xxh3_128_digest(whole[at[i] : at[j + 1] - 1]) for i, j in spans]
-
-
-def _run_digests(text: bytes | None) -> bytes:
-    return b"".join(_digests(text)[1])
-
-
-def _suspected(bitmap):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                found = [_digests(t) for t in batch.column(1).to_pylist()]
-                may = iter(held(bitmap.value, b"".join(d for _, ds in found for d in ds)).tolist())
-                out = [(d, row, i, j) for row, (spans, ds) in zip(batch.column(0).to_pylist(), found, strict=True) for (i, j), d in zip(spans, ds, strict=True) if next(may)]
-                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds)], names=["run", "row", "first", "last"])
-
-    return run
+
+#: Least words of a run, most words of a piece, least words of a sentence, and least words in a row that are removed.
+RUN_WORDS, PIECE, SENTENCE, LEAST_WORDS = 14, 12, 3, 25
+#: Words read at a time, about; bits of a word's place among them, and of a piece's place in a text.
+BATCH_WORDS, PLACE_BITS, LENGTH_BITS = 1 << 17, 24, 8
+#: A word ends with white space or after the full-width full stop.
+_STOP = b"\xe3\x80\x82"
+_WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+?(?:\xe3\x80\x82|(?=[ \t\n\x0b\x0c\r]|\Z))")
+_ENDS = (b".", b"!", b"?", _STOP)
+_MIX, _BASES = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0x2545F4914F6CDD1B), np.uint64(0xD1342543DE82EF93))
+
+
+class _Hashes(dict):
+    """Hash of a word; the lowest bit tells that it ends a sentence."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word) & ~1 | word.endswith(_ENDS)
+        return value
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out)
+
+
+_INTEGERS = ("tinyint", "smallint", "int", "bigint")
+_INVERSES = tuple(np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES)
+
+
+class Pieces:
+    """The pieces of some texts: `bounds` are the places of their first words among all words, and the end; `first` has each text's first piece, and the end."""
+
+    def __init__(self, texts: list[bytes | None], hashes: _Hashes):
+        words: list[bytes] = []
+        line_ends, starts = [], [0]
+        for text in texts:
+            data = (text or b"").lower()
+            if _STOP in data:
+                data = data.replace(_STOP, _STOP + b" ")
+            for line in data.split(b"\n"):
+                words += line.split()
+                line_ends.append(len(words))
+            starts.append(len(words))
+        n = self.n = len(words)
+        self.hash = np.fromiter(map(hashes.__getitem__, words), np.uint64, n)
+        sentence = np.zeros(n + 1, bool)
+        sentence[1:] = self.hash & np.uint64(1)
+        sentence[line_ends] = True
+        sentence[starts] = True
+        begins = sentence.copy()
+        at = np.flatnonzero(sentence)
+        begins[at[:-1][np.diff(at) < SENTENCE]] = False
+        begins[starts] = True
+        if n >= PIECE:
+            part = np.cumsum(begins[:n])
+            begins[self._least(sentence[:n])[part[: n - PIECE + 1] == part[PIECE - 1 :]]] = True
+        self.bounds = np.flatnonzero(begins)
+        self.first = np.searchsorted(self.bounds, starts)
+
+    def _least(self, sentence: np.ndarray) -> np.ndarray:
+        """Of each PIECE consecutive words, the place of that which begins a piece."""
+        low = np.uint64((1 << PLACE_BITS) - 1)
+        # the later of equals is less
+        key = (self.hash >> np.uint64(1) & ~low) | (~sentence).astype(np.uint64) << np.uint64(63) | (low - np.arange(self.n, dtype=np.uint64))
+        width = 1
+        while width < PIECE:
+            step = min(width, PIECE - width)
+            key, width = np.minimum(key[:-step], key[step:]), width + step
+        return (low - (key & low)).astype(np.int64)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces a run starts with, pieces it ends before), distinct."""
+        bounds, m = self.bounds, len(self.bounds) - 1
+        if not m:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        many = np.diff(self.first)
+        own_first, own_end = np.repeat(self.first[:-1], many), np.repeat(self.first[1:], many)
+        to = np.searchsorted(bounds, bounds[:-1] + RUN_WORDS)
+        since = np.searchsorted(bounds, bounds[1:] - RUN_WORDS, "right") - 1
+        onward, back = to <= own_end, since >= own_first
+        at = np.arange(m)
+        both = np.concatenate([at[onward] * (m + 1) + to[onward], since[back] * (m + 1) + at[back] + 1])
+        both = np.unique(both)
+        return both // (m + 1), both % (m + 1)
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """16 bytes for the words of each run: two polynomials of the words' hashes, and their number."""
+        a, b = self.bounds[start], self.bounds[end]
+        out = np.empty((len(start), 2), np.uint64)
+        h = self.hash
+        for lane in (0, 1):
+            total = np.zeros(self.n + 1, np.uint64)
+            np.cumsum(h * _powers(_BASES[lane], max(1, self.n))[: self.n], out=total[1:])
+            x = (total[b] - total[a]) * _powers(_INVERSES[lane], self.n + 1)[a]
+            x ^= (b - a).astype(np.uint64) * _MIX
+            out[:, lane] = (x ^ (x >> np.uint64(32))) * _MIX
+            h = (h ^ (h >> np.uint64(29))) * _MIX
+            h ^= h >> np.uint64(32)
+        return out
+
+
+def _parts(texts: list) -> Iterator[slice]:
+    """Slices of the texts with some BATCH_WORDS words each (one text at least)."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        size = len(t or b"") // 6 + 1
+        if held and held + size > BATCH_WORDS:
+            yield slice(start, i)
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k1, k2, own, h, at): each run's digest, its document and row, and its place: first piece and how many more."""
+    hashes = _Hashes()
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for part in _parts(texts):
+            pieces = Pieces(texts[part], hashes)
+            start, end = pieces.runs()
+            owner = np.searchsorted(pieces.first, start, "right") - 1
+            digests = pieces.digests(start, end).view(np.int64)
+            own, h = (batch.column(i).slice(part.start, part.stop - part.start).take(pa.array(owner)) for i in (0, 1))
+            at = (start - pieces.first[owner] << LENGTH_BITS) | (end - start - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(digests[:, 0]), pa.array(digests[:, 1]), own, h, pa.array(at)], names=["k1", "k2", "own", "h", "at"])
+
+
+def _taken(spans: list[dict], sizes: np.ndarray) -> tuple[np.ndarray, set]:
+    """The pieces to remove, of pieces of so many words, and the first holders of what they repeat."""
+    n = len(sizes)
+    change = np.zeros(n + 1, np.int64)
+    places = [(s["at"] >> LENGTH_BITS, s["at"] & ((1 << LENGTH_BITS) - 1), s["first_own"]) for s in spans]
+    for first, more, _ in places:
+        change[first] += 1
+        change[first + more + 1] -= 1
+    gone = np.cumsum(change[:n]) > 0
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    for a, b in edges.reshape(-1, 2).tolist():
+        if sizes[a:b].sum() < LEAST_WORDS:
+            gone[a:b] = False
+    return gone, {own for first, _, own in places if gone[first]}
+
+
+def _without(text: bytes, bounds: np.ndarray, gone: np.ndarray) -> bytes:
+    """The text without the pieces `gone`, each with the white space after it."""
+    at = [m.start() for m in _WORD.finditer(text)]
+    at.append(len(text))
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    kept, last = [], 0
+    for a, b in edges.reshape(-1, 2).tolist():
+        kept.append(text[last : at[bounds[a]]])
+        last = at[bounds[b]]
+    return b"".join([*kept, text[last:]])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
     for batch in batches:
-        counts, dropped, kept = [], [], []
-        for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            own = sentences(text)
-            gone = {k for s in spans or () for k in range(s["first"], s["last"] + 1)}
-            counts.append(len(own))
-            dropped.append(len(gone))
-            kept.append(b"".join(text[a:b] for k, (a, b) in enumerate(own) if k not in gone) if gone else text)
-        arrays = [batch.column(0), pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), batch.column(3), pa.array(kept, pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_sentences", "n_removed", "repeats_of", "text"])
-
-
-def span_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """Per row: doc_id, n_sentences, n_removed, repeats_of (ids that hold the first occurrence of a run removed here, sorted), and the kept text."""
-    plain = pick(docs, id_col, text_col)
-    body = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    row = row_key(plain, id_col, body)
-    table = plain.select(F.col(id_col).alias("doc_id"), row.alias("row"), body.alias("text"))
-    total = table.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    sc = docs.sparkSession.sparkContext
-    bitmap = sc.broadcast(seen_twice(table.select("text"), filter_bits(total // BYTES_PER_RUN, max_bits), _run_digests))
-    found = table.select("row", "text").mapInArrow(_suspected(bitmap), "run binary, row binary, first int, last int")
-    found = materialize(found)
-    at = F.struct("row", "first")
-    firsts = found.groupBy("run").agg(F.min(at).alias("at"), F.max(at).alias("to"), F.count("*").alias("n")).filter(F.col("at") != F.col("to"))
-    firsts = materialize(firsts.select("run", F.col("at.row").alias("first_row"), F.col("at.first").alias("first_at"), "n"))
-    met = join_hot(found, firsts, "run", "n", "row", found.count())
-    later = met.filter((F.col("row") != F.col("first_row")) | (F.col("first") != F.col("first_at")))
-    spans = later.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"), F.collect_set("first_row").alias("holders"))
-    kind = dict(table.dtypes)["doc_id"]
-    joined = table.join(spans.withColumnRenamed("row", "own"), F.col("row") == F.col("own"), "left")
-    joined = joined.select("doc_id", "text", "spans", F.array_sort(F.array_distinct(F.transform(F.coalesce("holders", F.array().cast("array<binary>")), lambda r: key_id(r, kind)))).alias("repeats_of"))
-    kept = joined.mapInArrow(_removed, f"doc_id {kind}, n_sentences bigint, n_removed bigint, repeats_of array<{kind}>, text binary")
-    return kept.withColumn("text", F.col("text").cast("string"))
+        kept, covered = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        pieces_gone, words_gone, holders = [0] * len(kept), [0] * len(kept), [[] for _ in kept]
+        hit = [i for i, spans in enumerate(covered) if spans]
+        texts = [kept[i] for i in hit]
+        for part in _parts(texts):
+            pieces = Pieces(texts[part], hashes)
+            for i, a, b in zip(hit[part], pieces.first[:-1].tolist(), pieces.first[1:].tolist(), strict=True):
+                bounds = pieces.bounds[a : b + 1] - pieces.bounds[a]
+                sizes = np.diff(bounds)
+                gone, own = _taken(covered[i], sizes)
+                if gone.any():
+                    pieces_gone[i], words_gone[i], holders[i] = int(gone.sum()), int(sizes[gone].sum()), list(own)
+                    kept[i] = _without(kept[i], bounds, gone)
+        kind = batch.schema.field("spans").type.value_type.field("first_own").type
+        arrays = [batch.column(0), pa.array(pieces_gone, pa.int64()), pa.array(words_gone, pa.int64()), pa.array(holders, pa.list_(kind)), pa.array(kept, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_removed", "n_words_removed", "holders", "text"])
+
+
+def _own(kind: str, text: Column) -> Column:
+    """What tells documents apart, in the id's order: integers themselves, other ids by their text; null ids below all, by a hash of the text."""
+    h = F.xxhash64(text)
+    if kind in _INTEGERS:
+        return F.coalesce(F.col("doc_id").cast("long"), F.shiftrightunsigned(h, 2) + F.lit(-(1 << 63)))
+    return F.coalesce(F.concat(F.lit(b"\1"), F.col("doc_id").cast("string").cast("binary")), F.concat(F.lit(b"\0"), F.unhex(F.lpad(F.hex(h), 16, "0"))))
+
+
+def _id_of(own: Column, kind: str) -> Column:
+    if kind in _INTEGERS:
+        return F.when(own >= -(1 << 62), own.cast(kind))
+    return F.when(F.substring(own, 1, 1) == F.lit(b"\1"), F.substring(own, F.lit(2), F.length(own) - 1).cast("string").cast(kind))
+
+
+def span_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_removed (pieces), n_words_removed, repeats_of (ids of the first holders of the runs removed here, sorted), and the kept text."""
+    plain = pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")).cast("binary"))
+    kind = dict(plain.dtypes)["doc_id"]
+    id_text = F.col("doc_id").cast("string")
+    table = plain.select("doc_id", _own(kind, F.col("text")).alias("own"), F.xxhash64("text", id_text).alias("h"), "text")
+    own_kind = dict(table.dtypes)["own"]
+    found = materialize(table.select("own", "h", "text").mapInArrow(_found, f"k1 bigint, k2 bigint, own {own_kind}, h bigint, at bigint"))
+    # partial counts keep a hot run's rows where they are
+    firsts = found.groupBy("k1", "k2").agg(F.min("own").alias("first_own"), F.max("own").alias("last_own"), F.count("*").alias("n")).filter(F.col("first_own") != F.col("last_own"))
+    firsts = materialize(firsts.select("k1", "k2", "first_own", "n"))
+    later = join_hot(found, firsts, ("k1", "k2"), "n", "h", found.count()).filter(F.col("own") != F.col("first_own"))
+    spans = later.groupBy("own", "h").agg(F.collect_set(F.struct("at", "first_own")).alias("spans"), F.count("*").alias("n"))
+    # each of the rows alike has every span once
+    spans = materialize(spans.withColumn("n", F.expr("n div size(spans)")))
+    joined = join_hot(table.withColumn("place", F.monotonically_increasing_id()), spans, ("own", "h"), "n", "place", table.count(), "left")
+    schema = f"doc_id {kind}, n_removed bigint, n_words_removed bigint, holders array<{own_kind}>, text binary"
+    kept = joined.select("doc_id", "text", "spans").mapInArrow(_removed, schema)
+    holders = F.array_sort(F.array_distinct(F.transform("holders", lambda own: _id_of(own, kind))))
+    return kept.select("doc_id", "n_removed", "n_words_removed", holders.alias("repeats_of"), F.col("text").cast("string").alias("text"))
 
 
 def op9_span_dedup(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_sentences, n_removed, repeats_of, kept_sha256 for all documents."""
+    """doc_id, n_removed, n_words_removed, repeats_of, kept_sha256 for all documents."""
     kept = span_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return kept.select("doc_id", "n_sentences", "n_removed", "repeats_of", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return kept.select("doc_id", "n_removed", "n_words_removed", "repeats_of", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

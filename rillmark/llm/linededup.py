@@ -10,9 +10,10 @@
 3. The confirmed keys go to all tasks if they are few (the count is checked), and
    else meet the suspected lines in a salted join.
 
-The filters' size follows the number of lines up to MAX_BITS, which bounds what is
-broadcast; with more lines than that the second filter lets more lines through to
-the exact count, and results stay the same.
+The filters' size follows the number of lines.  MAX_BITS bounds what is broadcast:
+where filters for all lines would be larger, the lines' digests are written once,
+parted by their range of values, and each range has filters of its own, one range at
+a time.  So the filters never fill up, and results are the same.
 
 Defined cases: a null text is one empty line; empty keys are never repeats; every
 row is a document, repeated rows too; a null id comes first among occurrences; an
@@ -29,9 +30,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, join_hot, materialize, pick
+from .common import WHITE, join_hot, materialize, pick, scratch
 
-#: Bits of a filter per line, hashes per line, and the least and most bits of a filter (32 MB).
+#: Bits of a filter per line, hashes per line, and the least and most bits of a filter (32 MB) of one range.
 BITS_PER_LINE, HASHES, MIN_BITS, MAX_BITS = 8, 4, 1 << 16, 1 << 28
 CHUNK = 1 << 16
 #: Filters merged by one task at a time.
@@ -105,7 +106,8 @@ def _filters(m: int, digests_of):
 
         once, twice = np.zeros(m // 8, np.uint8), np.zeros(m // 8, np.uint8)
         for batch in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
-            halves = np.frombuffer(b"".join(map(digests_of, batch.column(0).to_pylist())), "<u8").reshape(-1, 2)
+            values = batch.column(0).to_pylist()
+            halves = np.frombuffer(b"".join(map(digests_of, values) if digests_of else values), "<u8").reshape(-1, 2)
             order = np.argsort(halves[:, 0], kind="stable")
             halves = halves[order]
             same = np.zeros(len(halves), bool)  # an equal first half before it: at least the two are suspected
@@ -140,7 +142,7 @@ def filter_bits(keys: int, max_bits: int = MAX_BITS) -> int:
 
 
 def seen_twice(texts: DataFrame, m: int, digests_of=_line_digests) -> np.ndarray:
-    """The merged filter, of m bits, of the 16-byte digests that `digests_of` gives more than once over all texts."""
+    """The merged filter, of m bits, of the 16-byte digests that `digests_of` gives more than once over all texts (None: that are there more than once)."""
     parts = texts.rdd.getNumPartitions()
     schema = "chunk int, part int, once binary, twice binary"
     level = texts.mapInArrow(_filters(m, digests_of), schema)
@@ -206,6 +208,55 @@ def _counted(bitmap):
     return run
 
 
+def _listed(ranges: int):
+    """(part, key, row, line): the digests of each text's lines with the line each is first on, and the range they are in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                owner, lines, keys = [], [], []
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    first: dict[bytes, int] = {}
+                    for line, key in enumerate(_keys(text)):
+                        if key:
+                            first.setdefault(key, line)
+                    owner += [row] * len(first)
+                    lines += first.values()
+                    keys += map(xxhash.xxh3_128_digest, first)
+                upper = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)[:, 1] >> np.uint64(32)
+                part = ((upper * np.uint64(ranges)) >> np.uint64(32)).astype(np.int32)
+                arrays = [pa.array(part), pa.array(keys, pa.binary()), pa.array(owner, pa.binary()), pa.array(lines, pa.int32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["part", "key", "row", "line"])
+
+    return run
+
+
+def _passed(bitmap):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            yield batch.filter(pa.array(held(bitmap.value, b"".join(keys)))) if keys else batch
+
+    return run
+
+
+def ranged_suspects(table: DataFrame, n_lines: int, ranges: int) -> DataFrame:
+    """(key, row, line) of the lines of (row, text) that the filters of their range hold twice."""
+    spark = table.sparkSession
+    folder = scratch(spark)
+    table.select("row", "text").mapInArrow(_listed(ranges), "part int, key binary, row binary, line int").write.partitionBy("part").parquet(folder)
+    listed = spark.read.schema("key binary, row binary, line int, part int").parquet(folder)
+    out: DataFrame | None = None
+    for part in range(ranges):
+        own = listed.filter(F.col("part") == part).select("key", "row", "line")
+        bitmap = spark.sparkContext.broadcast(seen_twice(own.select("key"), filter_bits(-(-n_lines // ranges), 1 << 62), None))
+        found = materialize(own.mapInArrow(_passed(bitmap), "key binary, row binary, line int"))
+        bitmap.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 _KEPT = "doc_id {id}, n_lines bigint, n_dropped bigint, text binary"
 
 
@@ -288,10 +339,15 @@ def line_dedup(
         body.alias("text"),
     )
     n_lines = table.agg(F.sum(F.length("text") - F.length(F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(""))).cast("long") + 1)).first()[0] or 0
-    m = filter_bits(n_lines, max_bits)
     sc = docs.sparkSession.sparkContext
-    bitmap = sc.broadcast(seen_twice(table.select("text"), m))
-    counts = table.select("row", "text").mapInArrow(_counted(bitmap), "key binary, n bigint, row binary, line int")
+    ranges = -(-n_lines * BITS_PER_LINE // max_bits)
+    suspects = bitmap = None
+    if ranges > 1:
+        suspects = ranged_suspects(table, n_lines, ranges)
+        counts = suspects.withColumn("n", F.lit(1))
+    else:
+        bitmap = sc.broadcast(seen_twice(table.select("text"), filter_bits(n_lines, max_bits)))
+        counts = table.select("row", "text").mapInArrow(_counted(bitmap), "key binary, n bigint, row binary, line int")
     found = counts.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.struct("row", "line")).alias("at")).filter(F.col("n") >= min_docs)
     at = F.col("at")
     drops = materialize(found.select("key", "n", *[(at[c] if keep_first else F.lit(None).cast(t)).alias(c) for c, t in (("row", "binary"), ("line", "int"))]))
@@ -306,9 +362,16 @@ def line_dedup(
                 pairs = [(r, d) for r, one in zip(batch.column(0).to_pylist(), _suspects(batch.column(1).to_pylist(), bitmap.value), strict=True) for d in one]
                 yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], names=["own", "key"])
 
-        suspects = table.select("row", "text").mapInArrow(suspected, "own binary, key binary")
-        listed = join_hot(suspects, drops, "key", "n", "own", drops.agg(F.sum("n")).first()[0]).groupBy("own").agg(F.collect_set(F.struct("key", "row", "line")).alias("drops"))
-        kept = table.join(listed, table["row"] == listed["own"], "left").select("doc_id", "row", "text", "drops").mapInArrow(_applied(None, True), schema)
+        if suspects is None:
+            suspects = table.select("row", "text").mapInArrow(suspected, "own binary, key binary")
+        else:
+            suspects = suspects.select(F.col("row").alias("own"), "key")
+        met = join_hot(suspects, drops, "key", "n", "own", drops.agg(F.sum("n")).first()[0])
+        listed = met.groupBy("own").agg(F.collect_set(F.struct("key", "row", "line")).alias("drops"), F.count("*").alias("n"))
+        # each of the rows alike in id and text has every key once
+        listed = materialize(listed.select(F.col("own").alias("row"), "drops", F.expr("n div size(drops)").alias("n")))
+        met = join_hot(table.withColumn("place", F.monotonically_increasing_id()), listed, "row", "n", "place", table.count(), "left")
+        kept = met.select("doc_id", "row", "text", "drops").mapInArrow(_applied(None, True), schema)
     return kept.withColumn("text", F.col("text").cast("string"))
 
 

@@ -69,12 +69,12 @@ class BoostedTrees:
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing least-squares fit of y on score, by pooling adjacent violators; each block is drawn half a row towards the mean."""
-    order = np.argsort(score, kind="stable")
     mean = float(y.mean()) if len(y) else 0.0
+    level, at = np.unique(score, return_inverse=True)
     blocks: list[list[float]] = []  # sum, rows, lowest and highest score
-    for s, v in zip(score[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([v, 1, s, s])
-        while len(blocks) > 1 and (blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1] or blocks[-2][3] == blocks[-1][2]):
+    for s, v, n in zip(level.tolist(), np.bincount(at, y, len(level)).tolist(), np.bincount(at, minlength=len(level)).tolist(), strict=True):
+        blocks.append([v, n, s, s])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]
     x = [v for b in blocks for v in (b[2], b[3])]

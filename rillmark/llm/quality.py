@@ -2,14 +2,17 @@
 
 Each text gives exact counts (words, symbols, repeated lines and word windows)
 and a vector of transformed statistics.  For every group (language and source)
-the minimum covariance determinant is estimated by concentration steps: start
-from coordinatewise medians, keep the share of documents with the smallest
-Mahalanobis distances, refit mean and covariance on them, and so on.  A document
-is rejected when its distance from its group's estimate is too large.
-
-All groups take each step together, as one pre-aggregated sum of moments and one
-histogram of distances per group, so no group is ever gathered in a task.  The
-statistics are fixed-point integers and their sums are exact: the estimate does
+the minimum covariance determinant is estimated by concentration steps: keep the
+share of documents with the smallest Mahalanobis distances, refit mean and
+covariance on them, and so on until no group's determinant falls any more (STEPS at
+most).  There are two deterministic starts, distances from coordinatewise medians and
+from the mean and covariance of all; of each group the estimate of the lesser
+determinant counts.  A document is rejected when its distance from its group's
+estimate is too large.
+
+All groups and starts take each step together, as one pre-aggregated sum of moments
+and one histogram of distances per group, so no group is ever gathered in a task.
+The statistics are fixed-point integers and their sums are exact: the estimate does
 not depend on how rows are dealt.  Texts are read once.
 
 Defined cases: a null or blank text has no words and fails the base rules; null
@@ -30,10 +33,12 @@ from .common import carried, materialize, pick, words
 
 #: Statistics of a vector and the least spread taken for each, in units of the transformed value.
 STATISTICS = {"length": 0.7, "word": 0.1, "symbol": 0.4, "lines": 0.7, "repeat": 0.7, "capital": 0.25}
-#: Least members of a group, share that an estimate is fitted on, steps, and the squared distance that rejects (the 99.5 % point of chi2_6).
-MIN_GROUP, SUPPORT, STEPS, CUTOFF = 200, 0.75, 4, 18.548
-#: Tables of more groups than this are joined by a shuffle; tasks that write one.
-BROADCAST_GROUPS, GROUP_TASKS = 50_000, 16
+#: Least members of a group, share that an estimate is fitted on, most steps, and the squared distance that rejects (the 99.5 % point of chi2_6).
+MIN_GROUP, SUPPORT, STEPS, CUTOFF = 200, 0.75, 20, 18.548
+#: Starts of an estimate, and the least fall of a logarithm of a determinant that is worth another step.
+STARTS, FALL = 2, 1e-3
+#: Tables of more groups than this meet the documents in a salted shuffle; tasks that write one.
+BROADCAST_GROUPS, GROUP_TASKS, SALTS = 50_000, 16, 32
 #: Fixed-point units of the statistics, and bins of the distance histogram per doubling.
 UNIT, BINS = 1000, 64
 #: Consistency of the covariance of the nearest 75 % in six dimensions: 0.75 / P(chi2_8 <= q), q the 75 % point of chi2_6.
@@ -110,14 +115,20 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _small(groups: DataFrame) -> DataFrame:
-    """A table with a row per group, written; told to all tasks if it has few rows (some 300 bytes each), so that hot groups stay where they are."""
-    written = materialize(groups.coalesce(GROUP_TASKS))
-    return F.broadcast(written) if written.count() <= BROADCAST_GROUPS else written
+def _written(groups: DataFrame) -> DataFrame:
+    return materialize(groups.coalesce(GROUP_TASKS))
 
 
-def _grouped(table: DataFrame, min_group: int) -> DataFrame:
-    """Adds g: the group whose estimate a document is held against; null where none is large enough."""
+def _meet(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows joined to a table with a row per group, which is told to all tasks if there are few (some 300 bytes each); else all groups' rows are salted, so that a hot group is dealt."""
+    if few:
+        return rows.join(F.broadcast(groups), on, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int"))
+    return salted.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
+
+
+def _grouped(table: DataFrame, min_group: int, most: int) -> tuple[DataFrame, bool]:
+    """Adds g, the group whose estimate a document is held against (null where none is large enough), and tells if there are at most `most` groups."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     full = table.withColumn("_lang", named("lang")).withColumn("_source", named("source"))
     size = full.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
@@ -133,7 +144,9 @@ def _grouped(table: DataFrame, min_group: int) -> DataFrame:
         .when(F.col("pool") >= min_group, F.lit("*"))
         .alias("g"),
     )
-    return full.join(_small(label), ["_lang", "_source"]).drop("_lang", "_source")
+    label = _written(label)
+    few = label.count() <= most
+    return _meet(full, label, ["_lang", "_source"], few).drop("_lang", "_source"), few
 
 
 def _start(x: DataFrame, dims: list[str]) -> DataFrame:
@@ -167,15 +180,14 @@ def _moments(x: DataFrame, dims: list[str]) -> DataFrame:
 
 
 def _estimate(moments: DataFrame, dims: list[str]) -> DataFrame:
-    """Per group: mean m_<d> and the Cholesky factor l_<a>_<b> of the covariance, the square of its floor added to each variance."""
+    """Per group: mean m_<d>, the Cholesky factor l_<a>_<b> of the covariance, each variance the square of its floor at least, and logdet, the logarithm of its determinant."""
+    mean = lambda d: F.col(f"t_{d}") / F.col("n")
+    spread = lambda a, b: (F.col(f"p_{a}_{b}").cast("double") / F.col("n") - mean(a) * mean(b)) * CONSISTENCY
     out = moments.select(
         "g",
         *[(F.col(f"t_{d}") / F.col("n")).alias(f"m_{d}") for d in dims],
         *[
-            (
-                (F.col(f"p_{a}_{b}").cast("double") / F.col("n") - F.col(f"t_{a}") / F.col("n") * (F.col(f"t_{b}") / F.col("n"))) * CONSISTENCY
-                + F.lit((STATISTICS[a] * UNIT) ** 2 if a == b else 0.0)
-            ).alias(f"c_{a}_{b}")
+            F.greatest(spread(a, b), F.lit((STATISTICS[a] * UNIT) ** 2 if a == b else float("-inf"))).alias(f"c_{a}_{b}")
             for i, a in enumerate(dims)
             for b in dims[: i + 1]
         ],
@@ -186,12 +198,13 @@ def _estimate(moments: DataFrame, dims: list[str]) -> DataFrame:
             for k in dims[:j]:
                 rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
-    return _small(out.select("g", *[f"m_{d}" for d in dims], *[f"l_{a}_{b}" for i, a in enumerate(dims) for b in dims[: i + 1]]))
+    logdet = 2 * sum((F.log(f"l_{d}_{d}") for d in dims), F.lit(0.0))
+    return _written(out.select("g", logdet.alias("logdet"), *[f"m_{d}" for d in dims], *[f"l_{a}_{b}" for i, a in enumerate(dims) for b in dims[: i + 1]]))
 
 
-def _distance(x: DataFrame, estimate: DataFrame, dims: list[str]) -> DataFrame:
+def _distance(x: DataFrame, estimate: DataFrame, dims: list[str], few: bool) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance (null where the group has no estimate)."""
-    out = x.join(estimate, "g", "left")
+    out = _meet(x, estimate, ["g"], few, "left")
     for i, a in enumerate(dims):
         rest = F.col(a) - F.col(f"m_{a}")
         for b in dims[:i]:
@@ -200,14 +213,34 @@ def _distance(x: DataFrame, estimate: DataFrame, dims: list[str]) -> DataFrame:
     return out.withColumn("d2", sum((F.col(f"z_{d}") * F.col(f"z_{d}") for d in dims), F.lit(0.0))).select(*x.columns, "d2")
 
 
-def _nearest(x: DataFrame, share: float) -> DataFrame:
+def _nearest(x: DataFrame, share: float, few: bool) -> DataFrame:
     """The rows of x within their group's quantile of d2, by a histogram of logarithmic bins (its last bin whole)."""
     binned = x.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("int"))
     hist = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("g").orderBy("bin")
     hist = hist.withColumn("c", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
     most = hist.filter(F.col("c") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("most"))
-    return binned.join(_small(most), "g").filter(F.col("bin") <= F.col("most"))
+    return _meet(binned, _written(most), ["g"], few).filter(F.col("bin") <= F.col("most"))
+
+
+def robust_estimates(fit: DataFrame, dims: list[str], *, support: float = SUPPORT, steps: int = STEPS, few: bool = True) -> DataFrame:
+    """Per group g of fit (g and the statistics): the minimum covariance determinant's mean m_<d>, factor l_<a>_<b> and logdet."""
+    own = lambda start: F.concat("g", F.lit(f"\t{start}"))
+    medians, whole = (fit.withColumn("g", own(start)) for start in range(STARTS))
+    at = _written(_start(fit, dims)).withColumn("g", own(0))
+    near = sum((((F.col(d) - F.col(f"m_{d}")) / F.col(f"s_{d}")) ** 2 for d in dims), F.lit(0.0))
+    first = _meet(medians, at, ["g"], few).select("g", *dims, near.alias("d2"))
+    first = first.unionByName(_distance(whole, _estimate(_moments(whole, dims), dims), dims, few))
+    both = medians.unionByName(whole)
+    estimate = _estimate(_moments(_nearest(first, support, few), dims), dims)
+    for _ in range(steps):
+        before, estimate = estimate, _estimate(_moments(_nearest(_distance(both, estimate, dims, few), support, few), dims), dims)
+        change = before.select("g", F.col("logdet").alias("before")).join(estimate.select("g", "logdet"), "g")
+        if (change.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0.0) < FALL:
+            break
+    group = F.expr("left(g, length(g) - 2)").alias("g")
+    least = estimate.groupBy(group).agg(F.min_by(F.struct(*[c for c in estimate.columns if c != "g"]), F.struct("logdet", "g")).alias("best"))
+    return _written(least.select("g", "best.*"))
 
 
 def judge(
@@ -223,6 +256,7 @@ def judge(
     support: float = SUPPORT,
     steps: int = STEPS,
     cutoff: float = CUTOFF,
+    broadcast_groups: int = BROADCAST_GROUPS,
     carry: Sequence[str] = (),
 ) -> DataFrame:
     """Per document: id, the counts, base_failed, distance (squared; null without an estimate), kept, and the `carry` columns as c_0, c_1 and so on."""
@@ -233,15 +267,10 @@ def judge(
     vector = [F.round(c * UNIT).cast("long").alias(d) for d, c in _vector().items()]
     table = materialize(table.select("*", failed.alias("base_failed"), *vector))
     dims = list(STATISTICS)
-    x = _grouped(table, min_group)
+    x, few = _grouped(table, min_group, broadcast_groups)
     # documents that fail the base rules do not shape the estimates
     fit = materialize(x.filter(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *dims))
-    first = fit.join(_small(_start(fit, dims)), "g")
-    near = sum((((F.col(d) - F.col(f"m_{d}")) / F.col(f"s_{d}")) ** 2 for d in dims), F.lit(0.0))
-    estimate = _estimate(_moments(_nearest(first.select("g", *dims, near.alias("d2")), support), dims), dims)
-    for _ in range(steps):
-        estimate = _estimate(_moments(_nearest(_distance(fit, estimate, dims), support), dims), dims)
-    seen = _distance(x, estimate, dims)
+    seen = _distance(x, robust_estimates(fit, dims, support=support, steps=steps, few=few), dims, few)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return seen.select(*columns, F.col("d2").alias("distance"), kept.alias("kept"), *extra)

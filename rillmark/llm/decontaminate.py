@@ -4,9 +4,9 @@ A task cuts its documents into shards of bounded size, indexes each shard's word
 (suffix order, Burrows-Wheeler transform in a wavelet matrix, sampled suffix
 positions), searches all test phrases backwards at once through the matrix's
 ranks, locates the occurrences from the samples, and merges them into removal
-spans per document.  Nothing is shuffled: the test phrases go to the tasks, in
-blocks of bounded size; each further block is another pass over the documents,
-whose spans are united per row.
+spans per document.  The test phrases go to the tasks, as arrays of word numbers in
+blocks of bounded size, one at a time: nothing is shuffled with one block, and each
+further block is another pass over the documents, whose spans are united per text.
 
 Defined cases: null or wordless texts have no words and no hits; a document longer
 than a shard is indexed in pieces that overlap by a phrase; rows with equal text
@@ -30,6 +30,8 @@ from .common import carried, materialize, pick
 
 #: Words of a test phrase, words of a shard's index, distance of sampled suffixes, and bytes of test texts per block.
 WINDOW, SHARD_WORDS, SAMPLE, BLOCK_BYTES = 10, 500_000, 16, 16 << 20
+#: Parts of a hot text's rows where blocks' hits meet them.
+SALTS = 16
 #: Lower-cases A-Z, keeps 0-9, a-z and all bytes of other characters, and blanks the rest.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
@@ -153,27 +155,41 @@ class FMIndex:
 
 
 class Phrases:
-    """Test phrases of items: unique windows by length, and the items of each."""
+    """Test phrases of items: the distinct windows as rows of word numbers, by length, and the items of each."""
 
     def __init__(self, items: list[tuple[str, bytes | None]], window: int = WINDOW):
-        found: dict[tuple, set[str]] = {}
+        vocabulary: dict[bytes, int] = defaultdict(count().__next__)
+        names: dict[str, int] = defaultdict(count().__next__)
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for name, text in items:
             own = tokens(text)
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[i : i + window]), set()).add(name)
-        self.window = window
-        self.by_length: dict[int, list[tuple]] = {}
-        for phrase in sorted(found):
-            self.by_length.setdefault(len(phrase), []).append(phrase)
-        self.items = {n: [sorted(found[p]) for p in ps] for n, ps in self.by_length.items()}
+            if own:
+                codes = np.fromiter(map(vocabulary.__getitem__, own), np.int32, len(own))
+                found.setdefault(min(window, len(own)), []).append((codes, names[name]))
+        self.window, self.words, self.names = window, list(vocabulary), list(names)
+        #: length: (windows, first item of each window among the items, items)
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, texts in found.items():
+            rows = np.concatenate([np.lib.stride_tricks.sliding_window_view(codes, n) for codes, _ in texts])
+            owner = np.repeat(np.array([i for _, i in texts], np.int64), [len(codes) - n + 1 for codes, _ in texts])
+            phrases, which = np.unique(rows, axis=0, return_inverse=True)
+            pairs = np.unique(which.reshape(-1) * len(names) + owner)
+            at = np.searchsorted(pairs, np.arange(len(phrases) + 1) * len(names))
+            self.by_length[n] = phrases, at, (pairs % len(names)).astype(np.int32)
 
     def coded(self, vocabulary: dict[bytes, int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(length, phrase numbers, symbols) of the phrases all of whose words the shard has."""
-        for n, phrases in self.by_length.items():
-            codes = np.array([[vocabulary.get(w, 0) for w in p] for p in phrases], np.int64)
-            at = np.flatnonzero((codes > 0).all(axis=1))
+        table = np.fromiter((vocabulary.get(w, 0) for w in self.words), np.int64, len(self.words))
+        for n, (phrases, *_) in self.by_length.items():
+            at = np.arange(len(phrases))
+            for j in range(n):
+                at = at[table[phrases[at, j]] > 0]
             if len(at):
-                yield n, at, codes[at]
+                yield n, at, table[phrases[at]]
+
+    def items(self, n: int, phrase: int) -> list[str]:
+        _, at, owners = self.by_length[n]
+        return [self.names[i] for i in owners[at[phrase] : at[phrase + 1]].tolist()]
 
 
 def _hits(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
@@ -198,7 +214,7 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[list[tuple[i
         np.add.at(change, at + n, -1)
         pairs = np.unique(np.stack([np.searchsorted(index.starts, at, "right") - 1, np.repeat(numbers[which], many)], axis=1), axis=0)
         for text, phrase in pairs.tolist():
-            items[text].update(phrases.items[n][phrase])
+            items[text].update(phrases.items(n, phrase))
     edges = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(change) > 0).astype(np.int8)])))
     for a, b in edges.reshape(-1, 2).tolist():
         text = int(np.searchsorted(index.starts, a, "right") - 1)
@@ -285,13 +301,10 @@ def _scanned(phrases, shard_words: int, remove: bool = False):
     return run
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in blocks of about block_bytes of text each."""
-    total = items.agg(F.sum(F.length("text") + 64)).first()[0] or 0
-    n = -(-total // block_bytes)
-    for i in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else items
-        yield [(r["item"], bytes(r["text"])) for r in block.collect()]
+def _block(items: DataFrame, i: int, n: int) -> list[tuple[str, bytes]]:
+    """Block i of n of the items."""
+    own = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i) if n > 1 else items
+    return [(r["item"], bytes(r["text"])) for r in own.collect()]
 
 
 def find_contamination(
@@ -321,29 +334,33 @@ def find_contamination(
     sc = docs.sparkSession.sparkContext
     inner = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in rows.schema["carried"].dataType.fields)
     schema = f"carried struct<{inner}>, text binary, n_words bigint, spans array<struct<start: int, end: int>>, items array<string>"
-    blocks = [sc.broadcast(Phrases(block, window)) for block in _blocks(items, block_bytes)] or [sc.broadcast(Phrases([], window))]
-    if len(blocks) == 1:
-        found = rows.mapInArrow(_scanned(blocks[0], shard_words, remove), schema)
+    n_blocks = -(-(items.agg(F.sum(F.length("text") + 64)).first()[0] or 0) // block_bytes)
+    if n_blocks <= 1:
+        found = rows.mapInArrow(_scanned(sc.broadcast(Phrases(_block(items, 0, 1), window)), shard_words, remove), schema)
     else:
-        # each block is a pass; its hits alone are kept, and meet the rows by a digest of their content
+        # each block is a pass, one after the other; its hits alone are kept, and meet the rows by a digest of their content
         key = F.unhex(F.md5(F.col("text")))
-        parts = [rows.select("carried", "text").mapInArrow(_scanned(b, shard_words), schema).filter(F.size("spans") > 0).select(key.alias("key"), "spans", "items") for b in blocks]
-        hits = parts[0]
-        for part in parts[1:]:
-            hits = hits.unionByName(part)
-        hits = hits.distinct().groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        hits = materialize(hits)
+        hits: DataFrame | None = None
+        for i in range(n_blocks):
+            block = sc.broadcast(Phrases(_block(items, i, n_blocks), window))
+            part = rows.select("carried", "text").mapInArrow(_scanned(block, shard_words), schema).filter(F.size("spans") > 0)
+            part = materialize(part.select(key.alias("key"), "spans", "items").distinct())
+            block.destroy()
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         merged = F.expr(
             "aggregate(array_sort(spans), cast(array() as array<struct<start: int, end: int>>), (a, x) -> if(size(a) > 0 and x.start <= element_at(a, -1).end,"
             " concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"
         )
-        hits = hits.select("key", merged.alias("spans"), "items")
-        plain_rows = rows.mapInArrow(_scanned(sc.broadcast(Phrases([], window)), shard_words), schema).select("carried", "text", "n_words", key.alias("key"))
-        found = plain_rows.join(hits, "key", "left").select(
+        # any text may be on many rows, so all rows are dealt over salts
+        hits = materialize(hits.select("key", merged.alias("spans"), "items")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        counted = rows.mapInArrow(_scanned(sc.broadcast(Phrases([], window)), shard_words), schema)
+        dealt = counted.select("carried", "text", "n_words", key.alias("key"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+        found = dealt.join(hits, ["key", "salt"], "left").select(
             "carried", "text", "n_words", F.coalesce("spans", F.expr("cast(array() as array<struct<start: int, end: int>>)")).alias("spans"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")
         )
     found = found.select("carried.*", F.col("text").cast("string").alias("text"), "n_words", "spans", "items")
-    return cleaned(found) if remove and len(blocks) > 1 else found
+    return cleaned(found) if remove and n_blocks > 1 else found
 
 
 def _without(data: bytes, spans: list[tuple[int, int]]) -> bytes:

@@ -168,6 +168,22 @@ class Page:
             links[p] += links[i]
         return chars, linked, tags, links
 
+    def densities(self, out: list[bool]) -> tuple[list, ...]:
+        """Characters, tags, composite text density, and sum of the children's densities of every node, without what is left out."""
+        n = len(self.tag)
+        chars, linked, tags, links = self._counted(out)
+        density, total = [0.0] * n, [0.0] * n
+        share = linked[0] / max(1, chars[0])
+        for i in range(n - 1, -1, -1):
+            if out[i] or not chars[i]:
+                continue
+            c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
+            base = log(c / max(1, c - linked[i]) * linked[i] + share * c + e)
+            density[i] = c / t * max(0.0, log(c / lc * t / lt)) / (log(base) if base > 1 + 1e-9 else 1.0)
+            if i:
+                total[self.parent[i]] += density[i]
+        return chars, tags, density, total
+
     def text(self) -> str:
         n = len(self.tag)
         out = self.never[:]
@@ -180,19 +196,9 @@ class Page:
         told = any(whole[i] and self.tag[i] in _MAIN and not self.maybe[i] and not out[i] for i in range(1, n))
         for i in range(1, n):
             out[i] = out[i] or out[self.parent[i]] or (self.maybe[i] and not holds[i] and (told or 2 * whole[i] < whole[0]))
-        chars, linked, tags, links = self._counted(out)
+        chars, tags, density, total = self.densities(out)
         if not chars[0]:
             return ""
-        share = linked[0] / chars[0]
-        density, total = [0.0] * n, [0.0] * n
-        for i in range(n - 1, -1, -1):
-            if out[i] or not chars[i]:
-                continue
-            c, t, lc, lt = chars[i], max(1, tags[i]), max(1, linked[i]), max(1, links[i])
-            base = log(c / max(1, c - linked[i]) * linked[i] + share * c + e)
-            density[i] = c / t * max(0.0, log(c / lc * t / lt)) / max(1e-9, log(base)) if base > 1 + 1e-9 else c / t * max(0.0, log(c / lc * t / lt))
-            if i:
-                total[self.parent[i]] += density[i]
         best = max((i for i in range(n) if not out[i]), key=lambda i: (total[i], density[i], -i))
         path = [best]
         while path[-1]:

@@ -1,8 +1,11 @@
 import html
+import math
+import random
 import re
 
 import pytest
 
+from rillmark.llm import htmltext
 from rillmark.llm.htmltext import main_text
 from rillmark.llm.queries import QUERIES
 
@@ -92,3 +95,74 @@ def test_nulls_repeats_empty_table_and_clashing_columns(spark):
     made = made.selectExpr("*", "'x' as text", "'y' as HTML", "0 as n_chars").toDF("page_id", "url", "html", "text", "HTML", "n_chars")
     assert sorted(((r["page_id"] or 0, r["url"] or "", r["text"]) for r in extract(made).collect())) == [(0, "u", ""), (1, "", "a"), (1, "", "a")]
     assert extract(made.filter("false")).count() == 0
+
+
+def _tree(rng, depth=0):
+    """(tag, [text or tree, ...]) at random."""
+    tag = rng.choice(["div", "section", "p", "a", "span", "b"]) if depth else "body"
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        if depth < 4 and tag in ("body", "div", "section") and rng.random() < 0.6:
+            parts.append(_tree(rng, depth + 1))
+        else:
+            parts.append("x" * rng.randrange(1, 60))
+    return tag, parts
+
+
+def _html(tree):
+    return f"<{tree[0]}>" + "".join(x if isinstance(x, str) else _html(x) for x in tree[1]) + f"</{tree[0]}>"
+
+
+def _figures(tree):
+    """[(tag, characters, tags, link characters, link tags, children)] in page order, by recursion."""
+    tag, parts = tree
+    inner = [_figures(x) for x in parts if not isinstance(x, str)]
+    own = sum(len(x) for x in parts if isinstance(x, str))
+    tops = [f[0] for f in inner]
+    chars, tags = own + sum(f[1] for f in tops), sum(f[2] + 1 for f in tops)
+    linked, links = sum(f[3] for f in tops), sum(f[4] for f in tops)
+    if tag == "a":
+        linked, links = chars, links + 1
+    return [(tag, chars, tags, linked, links, tops), *[f for one in inner for f in one]]
+
+
+def test_densities_and_their_sums_by_recursion():
+    rng = random.Random(5)
+    for _ in range(200):
+        tree = _tree(rng)
+        figures = _figures(tree)
+        page = htmltext.Page(_html(tree))
+        body = figures[0]
+
+        def density(f):
+            _, c, t, lc, lt, _ = f
+            if not c:
+                return 0.0
+            # C / T * log(C / LC * T / LT) to the base ln(C / (C - LC) * LC + LC_b / C_b * C + e)
+            ratio = (c / max(1, lc)) * (max(1, t) / max(1, lt))
+            base = math.log(c / max(1, c - lc) * lc + body[3] / max(1, body[1]) * c + math.e)  # noqa: B023
+            power = math.log(ratio) / math.log(base) if base > 1 + 1e-9 else math.log(ratio)
+            return c / max(1, t) * max(0.0, power)
+
+        chars, tags, found, total = page.densities([False] * len(page.tag))
+        assert page.tag == [f[0] for f in figures] and chars == [f[1] for f in figures] and tags == [f[2] for f in figures]
+        assert found == pytest.approx([density(f) for f in figures])
+        assert total == pytest.approx([sum(map(density, f[5])) for f in figures])
+
+
+def test_densest_sum_and_threshold_choose_the_blocks():
+    """Without marks of any kind: the densest sum's node, and what beside its path is as dense as the path's least."""
+    long, links = "Plain words of the story. " * 12, "".join(f"<li><a href='/{k}'>go {k}</a></li>" for k in range(30))
+    story = "".join(f"<p>{k} {long}</p>" for k in range(5))
+    page = htmltext.Page(f"<div><ul>{links}</ul></div><div><div>{story}</div><div>{long}</div></div><div><ul>{links}</ul></div>")
+    chars, tags, density, total = page.densities([False] * len(page.tag))
+    best = max(range(len(total)), key=lambda i: total[i])
+    assert [page.tag[i] for i in range(len(page.tag)) if page.parent[i] == best] == ["p"] * 5
+    path, i = [], best
+    while i >= 0:
+        path.append(i)
+        i = page.parent[i]
+    least = min(density[i] for i in path)
+    beside = [i for i in range(len(page.tag)) if page.parent[i] in path and i not in path]
+    assert {i for i in beside if density[i] < least} == {i for i in beside if page.tag[i] == "div" and tags[i] > 10}
+    assert page.text().split("\n\n") == [f"{k} {long}".strip() for k in range(5)] + [long.strip()]

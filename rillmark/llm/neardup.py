@@ -2,15 +2,23 @@
 
 1. Each text gives its distinct word shingles as 64-bit hashes, a 128-bit digest of
    that set and a MinHash signature.  Texts with equal sets are one node.
-2. The forest holds one signature in several orders (rotations).  Nodes with a
-   common prefix in an order are a region.  A region too heavy for one task is
-   split by a longer prefix, as deep as it takes; what is still too heavy at full
-   depth is dealt into chunks of its sorted order.
-3. Each region, with its nodes' full sets, is confirmed exactly in one task, which
-   returns stars of the links it found: never more rows than nodes.
-4. The pairs that a split kept apart are made up for: in each heavy region, the
-   nodes outside its main component meet every block of the others.
-5. Components of all links; a document's component is the least id in it.
+2. The forest holds the signature in several orders (each starts at other values);
+   nodes sorted by an order that have a common prefix of DEPTH values are a region of
+   it.  So many orders make a pair at the threshold meet in a region of one of them
+   but with the probability MISS.  (Nodes of a region need only an equal hash of the
+   prefix, so light regions are found without a sort.)
+3. A region too heavy for one task is sorted by its order, over as many tasks as it
+   takes, and cut into runs of neighbours where the common prefixes of neighbours are
+   shortest: as deep in each place as its nodes are dense.
+4. Each region or run, with its nodes' full sets, is confirmed exactly in one task,
+   which returns stars of the links it found: never more rows than nodes.
+5. The pairs that a cut kept apart are made up for in heavy regions of several
+   components.  Where the nodes outside the main one fit a block, they meet every
+   block of the region, in linear work.  Otherwise the region's nodes go through a
+   second, deeper forest: DEEP values, and as many orders more as that takes; its
+   regions of one component are left out, and those that are heavy even there meet
+   block by block.
+6. Components of all links; a document's component is the least id in it.
 
 Counts, minima and joins on hot keys are pre-aggregated or salted, the steps are
 written to shared storage, and nothing per document comes to the driver.
@@ -24,7 +32,7 @@ them only if there is no other id; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil, comb, log
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +43,12 @@ from pyspark.sql import functions as F
 from .common import materialize, pick
 from .components import connected
 
-#: Words of a shingle, hashes of a region's first prefix, its longer prefixes (then all), and how likely a pair at the threshold may meet in no region.
-SHINGLE, DEPTH, DEEPER, MISS = 5, 4, (8, 16), 1e-5
+#: Words of a shingle, values of a signature at least, and of the prefixes of the first and of the second forest.
+SHINGLE, VALUES, DEPTH, DEEP = 5, 64, 3, 6
+#: How likely a pair at the threshold may meet in no region of the first forest, and of the second.
+MISS, MISS_DEEP = 1e-5, 1e-4
+#: Values after the prefix by which a heavy region's nodes are sorted.
+SORTED = 16
 #: Most shingles (a node counts LEAST_WEIGHT at least) of a region that one task confirms.
 MAX_WEIGHT, LEAST_WEIGHT = 400_000, 300
 SALTS = 16
@@ -170,10 +182,96 @@ def _stars(percent: int):
     return run
 
 
-def _prefix(tree: Column, depth: int) -> Column:
-    """Hash of the first `depth` values of a tree's order: the signature rotated to the tree's start."""
+def orders_needed(similarity: float, depth: int, size: int, miss: float) -> int:
+    """How many draws of `depth` among `size` values a pair needs to agree in one of them wholly, but with the probability `miss`."""
+    held = [(comb(size, m) * similarity**m * (1 - similarity) ** (size - m), comb(m, depth) / comb(size, depth)) for m in range(size + 1)]
+    orders = 1
+    while sum(p * (1 - q) ** orders for p, q in held) > miss and orders < 10_000:
+        orders += 1 + orders // 20
+    return orders
+
+
+def _rotated(tree: Column, start: int, values: int) -> Column:
+    """The values from `start` of a tree's order: the signature rotated to the tree's place."""
     twice = F.concat("signature", "signature")
-    return F.xxhash64(tree, F.lit(depth), twice.substr(tree * (4 * DEPTH) + 1, F.lit(4 * depth)))
+    return twice.substr(tree * (4 * DEPTH) + 4 * start + 1, F.lit(4 * values))
+
+
+def _drawn(orders: int, size: int) -> Column:
+    """Hash of the DEEP values that an order of the second forest starts with, by the column `tree`."""
+    draw = np.random.default_rng(11)
+    places = F.array(*[F.lit(int(v)) for _ in range(orders) for v in draw.permutation(size)[:DEEP]])
+    value = lambda k: F.col("signature").substr(F.element_at(places, F.col("tree") * DEEP + k + 1) * 4 + 1, F.lit(4))
+    return F.xxhash64(F.lit("deep"), "tree", F.concat(*[value(k) for k in range(DEEP)]))
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Bytes of the longest common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return next(i for i in range(n) if a[i] != b[i])
+
+
+def cut_runs(weights: list[int], common: list[int], most: int) -> list[int]:
+    """Where to cut a sorted row of nodes into runs of at most `most` (or one node): before each run's first node.
+
+    common[i] is the prefix that node i shares with the one before it; a run ends
+    before the node that shares least, in the latter half of what fits.
+    """
+    cuts, start, n = [], 0, len(weights)
+    while start < n:
+        cuts.append(start)
+        held, end = 0, start
+        while end < n and (end == start or held + weights[end] <= most):
+            held += weights[end]
+            end += 1
+        if end < n:
+            half = max(start + 1, (start + end + 1) // 2)
+            end = min(range(end, half - 1, -1), key=lambda i: (common[i] // 4, -i))
+        start = end
+    return cuts
+
+
+def _runs(most: int):
+    """(key, node) of runs, from rows (key, order, node, weight) that are sorted by key and order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, number, held = TaskContext.get().partitionId(), 0, []
+
+        def out(whole: bool) -> Iterator[pa.RecordBatch]:
+            """The runs held; if more rows may follow, all but the last two, which stay."""
+            nonlocal number, held
+            # a run ends with its region at the latest: there is nothing in common
+            common = [0] + [4 + _common(a[1], b[1]) if a[0] == b[0] else -1 for a, b in zip(held, held[1:], strict=False)]
+            ends = [i for i, c in enumerate(common) if c < 0] + [len(held)]
+            cuts, start = [], 0
+            for end in ends:
+                cuts += [start + c for c in cut_runs([r[3] for r in held[start:end]], common[start:end], most)]
+                start = end
+            stay = len(held) if whole or len(cuts) < 3 else cuts[-2]
+            if not whole and stay == len(held):
+                return
+            cuts = [*[c for c in cuts if c < stay], stay]
+            keys, nodes = [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                name = xxhash.xxh3_64_intdigest(b"%d:%d:%d" % (held[a][0], part, number)) - (1 << 63)
+                number += 1
+                keys += [name] * (b - a)
+                nodes += [r[2] for r in held[a:b]]
+            held = held[stay:]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(nodes, pa.binary())], names=["key", "node"])
+
+        for batch in batches:
+            held += zip(*[c.to_pylist() for c in batch.columns], strict=True)
+            if sum(r[3] for r in held) > 4 * most:
+                yield from out(False)
+        if held:
+            yield from out(True)
+
+    return run
 
 
 def _with_heavy(rows: DataFrame, max_weight: int) -> tuple[DataFrame, DataFrame]:
@@ -191,13 +289,19 @@ def _confirm(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return each.join(sets, "node").select("key", "node", "shingles").groupBy("key").applyInArrow(_stars(percent), "a binary, b binary")
 
 
-def _left_apart(heavy: DataFrame, labels: DataFrame, max_weight: int) -> DataFrame:
-    """Regions (key, node) for the pairs that splitting a heavy region kept apart.
+def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (key, node, weight) of regions of several components, with their label."""
+    own = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    many = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
+    return materialize(own.join(many, "key"))
+
+
+def _left_apart(own: DataFrame, max_weight: int) -> DataFrame:
+    """Regions (key, node, ob) for the pairs that cutting heavy regions (key, node, weight, label) kept apart; ob is how many blocks a heavy region has outside its main component.
 
     A region's main component is that with most nodes.  Its blocks each meet every
     block of the other nodes, and those blocks meet each other.
     """
-    own = heavy.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     per = own.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
     main = per.groupBy("key").agg(F.max(F.struct("n", "label", "w")).alias("m"), F.sum("w").alias("all"))
     half = max(1, max_weight // 2)
@@ -210,13 +314,28 @@ def _left_apart(heavy: DataFrame, labels: DataFrame, max_weight: int) -> DataFra
     # main block i with other block j: ("m", i, j); other blocks j <= k: ("o", j, k)
     crossed = met.withColumn("over", F.explode(F.when(F.col("other"), upto("mb")).otherwise(upto("ob"))))
     crossed = crossed.select(
-        F.xxhash64("key", F.lit("m"), F.when(F.col("other"), F.col("over")).otherwise(F.col("block")), F.when(F.col("other"), F.col("block")).otherwise(F.col("over"))).alias("key"), "node"
+        F.xxhash64("key", F.lit("m"), F.when(F.col("other"), F.col("over")).otherwise(F.col("block")), F.when(F.col("other"), F.col("block")).otherwise(F.col("over"))).alias("key"), "node", "ob"
     )
     among = met.filter("other").withColumn("over", F.explode(upto("ob")))
-    among = among.select(F.xxhash64("key", F.lit("o"), F.least("block", "over"), F.greatest("block", "over")).alias("key"), "node")
+    among = among.select(F.xxhash64("key", F.lit("o"), F.least("block", "over"), F.greatest("block", "over")).alias("key"), "node", "ob")
     return crossed.unionByName(among)
 
 
+def _joined(labels: DataFrame, apart: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, max_weight: int, similarity: float, size: int) -> DataFrame:
+    """Labels with the links between components of the heavy regions `apart` (key, node, weight, label) as well."""
+    again = lambda found: connected(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+    blocks = materialize(_left_apart(apart, max_weight))
+    few = blocks.filter("ob = 1").select("key", "node")
+    crowded = blocks.filter("ob > 1").select("node").distinct()
+    if crowded.isEmpty():
+        return again(_confirm(few, sets, percent))
+    orders = orders_needed(similarity, DEEP, size, MISS_DEEP)
+    pool = nodes.join(crowded, "node").withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(orders - 1))))
+    light, heavy = _with_heavy(pool.select(_drawn(orders, size).alias("key"), "node", "weight"), max_weight)
+    deep = _several(light, labels).select("key", "node").unionByName(_left_apart(_several(heavy.drop("all"), labels), max_weight).select("key", "node"))
+    return again(_confirm(few.unionByName(deep), sets, percent))
+
+
 def near_duplicates(
     docs: DataFrame,
     *,
@@ -234,9 +353,10 @@ def near_duplicates(
     plain = pick(docs, id_col, text_col)
     plain = plain.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     id_type = dict(plain.dtypes)["doc_id"]
-    # a pair of similarity s shares a first prefix in one order with probability s ** DEPTH
-    trees = trees or max(4, ceil(log(MISS) / log(1 - min(0.99, percent / 100) ** DEPTH)))
-    size = trees * DEPTH
+    # a pair of similarity s shares a prefix of one order with probability s ** DEPTH
+    similarity = min(0.99, percent / 100)
+    trees = trees or max(4, ceil(log(MISS) / log(1 - similarity**DEPTH)))
+    size = max(VALUES, trees * DEPTH)
     base = plain.mapInArrow(_signed(shingle, size), f"doc_id {id_type}, n_shingles bigint, node binary, signature binary")
     base = materialize(base)
     nodes = (
@@ -247,31 +367,23 @@ def near_duplicates(
     # different sets reach the threshold only if the larger, of b shingles, has 100 * (b - 1) >= percent * b, the smaller one less
     nodes = nodes.filter((F.col("n_shingles") + 1) * (100 - percent) >= 100)
     nodes = materialize(nodes.select("node", "doc_id", F.greatest("n_shingles", F.lit(LEAST_WEIGHT)).alias("weight"), "signature"))
-    deeper = [d for d in DEEPER if d < size] + [size]
-    rows = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = nodes.withColumn("tree", every(trees))
     # tree and node find the signature again where a region turns out heavy
-    light, heavy = _with_heavy(rows.select(_prefix(F.col("tree"), DEPTH).alias("key"), "node", "weight", "tree"), max_weight)
-    members = light.select("key", "node")
-    first = heavy.select("key", "node", "weight")
-    any_heavy = rest = not heavy.isEmpty()
-    for depth in deeper if any_heavy else []:
-        keyed = heavy.select("node", "weight", "tree").join(nodes.select("node", "signature"), "node")
-        light, heavy = _with_heavy(keyed.select(_prefix(F.col("tree"), depth).alias("key"), "node", "weight", "tree"), max_weight)
-        members = members.unionByName(light.select("key", "node"))
-        rest = not heavy.isEmpty()
-        if not rest:
-            break
-    if rest:
-        chunk = F.floor(F.conv(F.substring(F.hex("node"), 1, 8), 16, 10).cast("double") / float(1 << 32) * F.ceil(F.col("all") / F.lit(max_weight // 2)))
-        members = members.unionByName(heavy.select(F.xxhash64("key", F.lit("c"), chunk).alias("key"), "node"))
-    wanted = members.select("node").unionByName(first.select("node")).distinct().join(nodes.select("node", "doc_id"), "node")
+    light, heavy = _with_heavy(rows.select(F.xxhash64("tree", _rotated(F.col("tree"), 0, DEPTH)).alias("key"), "node", "weight", "tree"), max_weight)
+    members, any_heavy = light.select("key", "node"), not heavy.isEmpty()
+    if any_heavy:
+        placed = heavy.join(nodes.select("node", "signature"), "node").select("key", _rotated(F.col("tree"), DEPTH, SORTED).alias("order"), "node", "weight")
+        # rows alike in all but the node are told apart, so that ranges can part them
+        runs = placed.repartitionByRange("key", "order", "node").sortWithinPartitions("key", "order", "node")
+        members = members.unionByName(materialize(runs.mapInArrow(_runs(max(1, max_weight // 2)), "key bigint, node binary")))
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
     rows_of = plain.join(wanted.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     # written, so that the shuffled texts can go before the sets are dealt
     sets = materialize(rows_of.mapInArrow(_sets(shingle), "node binary, shingles binary").dropDuplicates(["node"]))
     labels = connected(_confirm(members, sets, percent))
     if any_heavy:
-        found = _confirm(_left_apart(first, labels, max_weight), sets, percent)
-        labels = connected(found.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b"))))
+        labels = _joined(labels, _several(heavy.select("key", "node", "weight"), labels), nodes, sets, percent, max_weight, similarity, size)
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     named = base.select("doc_id", "n_shingles", "node").withColumn("salt", salt)

@@ -51,6 +51,54 @@ def test_components_equal_brute_force(make_docs, percent, weight):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in found)
 
 
+def test_heavy_regions_of_many_components(make_docs, monkeypatch):
+    """Texts that share much, but too little to be linked, beside pairs that are: the second forest parts them."""
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(100_000)}"
+    common = [word() for _ in range(110)]
+    texts = []
+    for _ in range(150):
+        own = common + [word() for _ in range(60)]
+        texts += [own, own[:-1] + [word()]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    needed, seen = neardup.orders_needed, []
+    monkeypatch.setattr(neardup, "orders_needed", lambda *a: seen.append(a) or needed(*a))
+    found = neardup.near_duplicates(make_docs(rows), percent=80, max_weight=9000).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == plain(rows, 80)
+    assert seen and len({r["component_id"] for r in found}) == 150
+
+
+def test_pairs_at_the_threshold_meet_as_often_as_stated():
+    """Of pairs of signatures that agree in each value with probability 0.8, the share that has a common prefix in some order."""
+    rng = np.random.default_rng(2)
+    size, trees = 64, int(np.ceil(np.log(neardup.MISS) / np.log(1 - 0.8**neardup.DEPTH)))
+    assert trees * neardup.DEPTH <= size
+    agree = rng.random((200_000, size)) < 0.8
+    first = agree[:, : trees * neardup.DEPTH].reshape(-1, trees, neardup.DEPTH).all(axis=2)
+    assert (~first.any(axis=1)).mean() < 5e-5
+    few = agree[:20_000]
+    draw = np.random.default_rng(11)
+    met = np.zeros(len(few), bool)
+    for _ in range(neardup.orders_needed(0.8, neardup.DEEP, size, neardup.MISS_DEEP)):
+        met |= few[:, draw.permutation(size)[: neardup.DEEP]].all(axis=1)
+    assert (~met).mean() < 5e-4
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 9), st.integers(0, 12)), max_size=40), st.integers(1, 20))
+def test_runs_fit_and_end_where_least_is_shared(nodes, most):
+    weights, common = [n[0] for n in nodes], [n[1] for n in nodes]
+    cuts = neardup.cut_runs(weights, common, most)
+    assert cuts == sorted(set(cuts)) and (not nodes or cuts[0] == 0)
+    for a, b in zip(cuts, [*cuts, len(nodes)][1:], strict=True):
+        assert b - a == 1 or sum(weights[a:b]) <= most
+        if b < len(nodes):
+            full = a + 1
+            while full < len(nodes) and sum(weights[a : full + 1]) <= most:
+                full += 1
+            assert common[b] // 4 == min(common[i] // 4 for i in range(max(a + 1, (a + full + 1) // 2), full + 1))
+
+
 def test_odd_texts_and_empty_table(make_docs, odd_texts):
     docs = make_docs(odd_texts)
     found = neardup.near_duplicates(docs, percent=80).collect()

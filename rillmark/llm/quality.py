@@ -4,8 +4,8 @@ Each text gives exact counts (words, symbols, repeated lines and word windows)
 and a vector of transformed statistics.  For every group (language and source)
 the minimum covariance determinant is estimated by concentration steps: keep the
 share of documents with the smallest Mahalanobis distances, refit mean and
-covariance on them, and so on until no group's determinant falls any more (STEPS at
-most).  There are two deterministic starts, distances from coordinatewise medians and
+covariance on them, and so on until no group's determinant falls by a twentieth any
+more (STEPS at most).  There are two deterministic starts, distances from coordinatewise medians and
 from the mean and covariance of all; of each group the estimate of the lesser
 determinant counts.  A document is rejected when its distance from its group's
 estimate is too large.
@@ -34,9 +34,9 @@ from .common import carried, materialize, pick, words
 #: Statistics of a vector and the least spread taken for each, in units of the transformed value.
 STATISTICS = {"length": 0.7, "word": 0.1, "symbol": 0.4, "lines": 0.7, "repeat": 0.7, "capital": 0.25}
 #: Least members of a group, share that an estimate is fitted on, most steps, and the squared distance that rejects (the 99.5 % point of chi2_6).
-MIN_GROUP, SUPPORT, STEPS, CUTOFF = 200, 0.75, 20, 18.548
+MIN_GROUP, SUPPORT, STEPS, CUTOFF = 200, 0.75, 10, 18.548
 #: Starts of an estimate, and the least fall of a logarithm of a determinant that is worth another step.
-STARTS, FALL = 2, 1e-3
+STARTS, FALL = 2, 0.05
 #: Tables of more groups than this meet the documents in a salted shuffle; tasks that write one.
 BROADCAST_GROUPS, GROUP_TASKS, SALTS = 50_000, 16, 32
 #: Fixed-point units of the statistics, and bins of the distance histogram per doubling.

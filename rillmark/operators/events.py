@@ -12,10 +12,6 @@ from pyspark.sql import functions as F
 from rillmark.functions.scalar import ratio
 from rillmark.functions.time import SPAN_MS, epoch_ms, window_id, window_key, window_number
 
-#: Campaign tables of more ads than this are joined by a shuffle.
-BROADCAST_ADS = 2_000_000
-
-
 def filter_events(events: DataFrame, kind: str = "click", *, type_col: str = "event_type", columns: tuple[str, ...] = ("ts", "user_id")) -> DataFrame:
     """Events of a kind, with the columns that later steps need."""
     return events.filter(F.col(type_col) == kind).select(*columns)

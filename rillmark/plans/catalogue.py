@@ -19,8 +19,8 @@ from rillmark.operators import relational as rel
 from rillmark.sources import fixedwidth, generator
 from rillmark.sources.tables import campaign_table, event_stream, table
 from rillmark.storage import scratch
-from rillmark.streaming.run import finish, finish_ordered, in_utc
-from rillmark.streaming.windows import ratio_join_stream, sliding_stream
+from rillmark.streaming.run import finish, finish_each, finish_ordered, in_utc
+from rillmark.streaming.windows import Slices, multi_query_sink, ratio_join_stream, sliding_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,8 +109,9 @@ def ysb_ratio_ordered(spark, d):
 
 @query("""SELECT CASE WHEN event_type = 'click' THEN 'click' ELSE 'view' END AS branch, ts, user_id FROM events WHERE event_type IN ('click', 'view')""")
 def ysb_route(spark, d):
-    routed = [ev.filter_events(table(spark, d, "events"), kind).select(F.lit(kind).alias("branch"), "ts", "user_id") for kind in ("click", "view")]
-    return rel.union_all(*routed)
+    # one scan; the event's type is its branch
+    both = table(spark, d, "events").filter(F.col("event_type").isin("click", "view"))
+    return both.select(F.col("event_type").alias("branch"), "ts", "user_id")
 
 
 @query(f"SELECT wid AS slice_id, c_id, cnt, max_event_time FROM ({_COUNTS})")
@@ -413,23 +414,26 @@ def stream_total_count(spark, d):
     return _finish(ev.total_counts(_stream(spark, d), span_ms=DAY_MS))
 
 
-_WINDOWS = f"""SELECT s.wid - k.k AS wid, s.c_id, CAST(sum(s.cnt) AS BIGINT) AS cnt, max(s.max_event_time) AS max_event_time
-FROM ({_COUNTS}) s, (SELECT unnest(range(0, {SLIDING})) AS k) k GROUP BY ALL"""
+def _of_slices(spark: SparkSession, d: str, sink, reach: int, columns: str) -> DataFrame:
+    """Windows that `sink` makes of a stream's closed slices, each as soon as its last slice has closed."""
+    counted = ev.window_counts(_stream_clicks(spark, d), span_ms=DAY_MS)
+    campaign = counted.schema["c_id"].dataType.simpleString()
+    schema = spark.createDataFrame([], f"{columns} bigint, c_id {campaign}, cnt bigint, max_event_time timestamp").schema
+    done = finish_each(counted, lambda emit: sink(Slices(spark, scratch(spark), reach), reach, emit), schema, partitions=STATE_PARTITIONS)
+    return in_utc(done, "max_event_time")
 
 
-@query(_closed(_WINDOWS, "'click'", SLIDING))
+@query(_closed(_SLIDING, "'click'", SLIDING))
 def stream_sliding(spark, d):
-    return _finish(sliding_stream(_stream_clicks(spark, d), SLIDING, span_ms=DAY_MS))
-
-
-_CLOSED_SLICES = _closed(_COUNTS, "'click'")
+    return _of_slices(spark, d, sliding_sink, SLIDING, "wid")
 
 
-@query(_MULTI.replace(_COUNTS, _CLOSED_SLICES))
+@query(_MULTI.replace(_COUNTS, _closed(_COUNTS, "'click'")))
 def stream_multi_query(spark, d):
-    return ev.multi_query(stream_click_counts(spark, d).withColumnRenamed("wid", "slice_id"), QUERY_SIZES)
+    return _of_slices(spark, d, multi_query_sink, QUERY_SIZES, "query_id int, wid")
 
 
-@query(_SLIDING.replace(_COUNTS, _CLOSED_SLICES))
+@query(_SLIDING.replace(_COUNTS, _closed(_COUNTS, "'click'")))
 def stream_sliding_slices(spark, d):
+    # by the batch operator, over the slices of a stream that has ended
     return ev.sliding(stream_click_counts(spark, d).withColumnRenamed("wid", "slice_id"), SLIDING)

@@ -16,6 +16,7 @@ from rillmark.operators import relational as rel
 from rillmark.sources.generator import ADS, campaigns, generate, generate_stream
 from rillmark.storage import scratch
 from rillmark.streaming.run import in_utc
+from rillmark.streaming.windows import Slices, multi_query_sink, sliding_sink
 
 
 @dataclass
@@ -110,17 +111,7 @@ def start(spark: SparkSession, code: str, s: Settings, show: Callable[[DataFrame
     folder = scratch(spark)
     seen = {"rows": 0, "seconds": 0.0, "events": 0}
 
-    def sink(windows: DataFrame, number: int) -> None:
-        if kind:
-            place = f"{folder}/slices"
-            windows.write.mode("overwrite").parquet(f"{place}/trigger={number}")
-            first = windows.agg(F.min("wid")).first()[0]
-            if first is None:
-                return
-            # only slices that share a window with a new one
-            recent = spark.read.parquet(place).filter((F.col("trigger") <= number) & (F.col("wid") > first - s.queries)).drop("trigger")
-            last = F.col("wid") + (s.queries - 1) if kind == "sliding" else (F.col("wid") + 1) * F.col("query_id") - 1
-            windows = _built(recent, kind, s).filter(last >= first)
+    def emit(windows: DataFrame, number: int) -> None:
         rows = _in_order(windows, order).persist()
         try:
             late = (F.unix_millis(F.current_timestamp()) - F.unix_millis("max_event_time")) / 1000
@@ -132,5 +123,9 @@ def start(spark: SparkSession, code: str, s: Settings, show: Callable[[DataFrame
         finally:
             rows.unpersist()
 
+    sink = emit
+    if kind:
+        build = multi_query_sink if kind == "queries" else sliding_sink
+        sink = build(Slices(spark, f"{folder}/slices", s.queries), s.queries, emit)
     windows = stream(live, campaigns(spark, s.ads), s)
     return windows.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{folder}/state").start()

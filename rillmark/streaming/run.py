@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from rillmark.functions.time import plain_time
 from rillmark.storage import scratch
@@ -55,7 +56,26 @@ def finish_ordered(stream: DataFrame, order: list[str], path: str | None = None,
     with state_partitions(spark, partitions):
         query = stream.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(path).select(*stream.columns).orderBy(*order)
+    return _triggers(stream.schema, spark, path).orderBy(*order)
+
+
+def finish_each(stream: DataFrame, sink_of: Callable[[Callable[[DataFrame, int], None]], Callable[[DataFrame, int], None]], schema: StructType, path: str | None = None, *, partitions: int | None = None) -> DataFrame:
+    """As finish, with a foreachBatch function that gets its emit from here: emit(rows, trigger) keeps rows of `schema`, once for each trigger."""
+    spark = stream.sparkSession
+    path = path or scratch(spark)
+    sink = sink_of(lambda rows, number: rows.write.mode("overwrite").parquet(f"{path}/trigger={number}"))
+    with state_partitions(spark, partitions):
+        query = stream.writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return _triggers(schema, spark, path)
+
+
+def _triggers(schema: StructType, spark: SparkSession, path: str) -> DataFrame:
+    """What triggers have kept; no rows if there was no trigger."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(StructType([*schema.fields, StructField("trigger", LongType())])).parquet(path).drop("trigger")
 
 
 def collect_latency(stream: DataFrame, report: Callable[[int, float, int], None], *, time_col: str = "max_event_time", count_col: str = "cnt", state: str | None = None) -> StreamingQuery:

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from rillmark.functions.time import epoch_ms
 from rillmark.operators import events as ev
+from rillmark.plans.catalogue import ORACLES, QUERIES
 from rillmark.sources.generator import campaigns, generate_stream
 from rillmark.sources.tables import event_stream
-from rillmark.streaming.run import collect_latency, finish, finish_ordered, in_utc, input_rates
-from rillmark.streaming.windows import sliding_stream
+from rillmark.streaming.run import collect_latency, finish, finish_each, finish_ordered, in_utc, input_rates
+from rillmark.streaming.windows import Slices, multi_query_sink, sliding_sink
 
 START = datetime(2024, 1, 1)
 SPAN = 10_000
@@ -55,15 +56,74 @@ def test_ordered_output(spark, tmp_path, table):
     assert rows == sorted(rows) and len(rows) == 8
 
 
+def sliding(events, length, folder):
+    counted = ev.window_counts(events, span_ms=SPAN)
+    return finish_each(counted, lambda emit: sliding_sink(Slices(counted.sparkSession, folder, length), length, emit), counted.schema)
+
+
 def test_sliding_stream_equals_the_batch_on_full_windows(spark, tmp_path, table):
     folder = str(tmp_path)
     write(spark, folder, 0, [(k * 4_000, 1 + k % 2, "click") for k in range(30)])
-    live = in_utc(finish(sliding_stream(ev.join_campaign(_files(spark, folder), table), 3, span_ms=SPAN)), "max_event_time")
+    live = sliding(ev.join_campaign(_files(spark, folder), table), 3, f"{folder}/slices")
     batch = ev.sliding(ev.slices(ev.join_campaign(spark.read.parquet(f"{folder}/events.parquet").select("ts", "user_id"), table), span_ms=SPAN), 3)
     streamed = {(r["wid"], r["c_id"]): r["cnt"] for r in live.collect()}
-    first = min(w for w, _ in {(r["wid"], r["c_id"]) for r in batch.collect()})
-    closed = {k: v for k, v in ((((r["wid"], r["c_id"]), r["cnt"])) for r in batch.collect()) if k in streamed}
-    assert closed and {k: v for k, v in streamed.items() if k[0] >= first} == closed
+    whole = {(r["wid"], r["c_id"]): r["cnt"] for r in batch.collect()}
+    ended = max(w for w, _ in streamed)
+    assert streamed and streamed == {k: v for k, v in whole.items() if k[0] <= ended}
+
+
+def test_sliding_stream_leaves_out_windows_with_a_hole(spark, tmp_path, table):
+    folder = str(tmp_path)
+    # slices 0 to 3 and 5 to 9, and an event that closes them
+    write(spark, folder, 0, [(k * 10_000, 1 + k % 2, "click") for k in (0, 1, 2, 3, 5, 6, 7, 8, 9)] + [(300_000, 1, "click")])
+    live = sliding(ev.join_campaign(_files(spark, folder), table), 3, f"{folder}/slices").collect()
+    base = int((START - datetime(1970, 1, 1)).total_seconds() * 1000) // SPAN
+    assert sorted({r["wid"] - base for r in live}) == [0, 1, 5, 6, 7]
+
+
+def test_windows_of_slices_over_many_triggers(spark, tmp_path, table):
+    folder = str(tmp_path)
+    for i in range(6):
+        write(spark, folder, i, [(i * 30_000 + k * 10_000, 1 + k % 2, "click") for k in range(3)])
+    events = ev.join_campaign(_files(spark, folder), table)
+    counted, place = ev.window_counts(events, span_ms=SPAN), f"{folder}/slices"
+    slices = Slices(spark, place, 3)
+    build = lambda s: ev.multi_query(s, 3)
+    done = finish_each(counted, lambda emit: multi_query_sink(slices, 3, emit), build(spark.createDataFrame([], counted.schema).withColumnRenamed("wid", "slice_id")).schema)
+    got = sorted((r["query_id"], r["wid"], r["c_id"], r["cnt"]) for r in done.collect())
+    batch = ev.window_counts(ev.join_campaign(spark.read.parquet(f"{folder}/events.parquet"), table), span_ms=SPAN)
+    last = max(r["wid"] for r in batch.collect())
+    expected = build(batch.filter(F.col("wid") < last).withColumnRenamed("wid", "slice_id")).collect()
+    assert got == sorted((r["query_id"], r["wid"], r["c_id"], r["cnt"]) for r in expected) and {g[0] for g in got} == {1, 2, 3}
+    # what no later window needs is gone, and a repeated trigger gives the same again
+    first = min(r["wid"] for r in batch.collect())
+    assert min(slices._blocks()) > first // 3
+    again = Slices(spark, f"{folder}/again", 3)
+    rows = batch.filter(F.col("wid") < last)
+    one, two = again.add(rows, 0)[0].count(), again.add(rows, 0)[0].count()
+    assert one == two == rows.count() and again.add(rows.filter("false"), 1) is None
+
+
+STREAMS = [q for q in QUERIES if q.startswith("stream_")]
+
+
+def one_folder(spark, tiny, folder, empty=False):
+    """The tables of a folder as directories of three files each."""
+    for name in ("events", "customer"):
+        rows = spark.read.parquet(f"{tiny}/{name}.parquet")
+        rows.filter("false" if empty else "true").repartition(3).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_queries_over_tables_that_are_directories(spark, tiny, tmp_path, sql, same_rows, name):
+    same_rows(QUERIES[name](spark, one_folder(spark, tiny, str(tmp_path))), sql(tiny, ORACLES[name]))
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_queries_over_empty_tables(spark, tiny, tmp_path, name):
+    found = QUERIES[name](spark, one_folder(spark, tiny, str(tmp_path), empty=True))
+    assert found.count() == 0 and found.columns
 
 
 def test_event_stream_reads_one_table_of_a_folder(spark, tiny):

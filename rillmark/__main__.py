@@ -1,9 +1,10 @@
-"""python -m rillmark USE_CASE [rate=10000] [queries=4] [--seconds N] [--span MS] [--tables FOLDER] [--batch]
+"""python -m rillmark USE_CASE [rate=10000] [queries=4] [--seconds N] [--span MS] [--tables FOLDER] [--shared FOLDER] [--batch]
 
 Runs a use case on generated events and prints its rows, the mean latency and the
 count of events: YSB, YSBS, YSBM, YSBMS, YSBMQ, YSBMQS, Sliding, SlidingS and WA live for
 --seconds seconds (or, with --batch, over as many seconds of events at once), and MAP,
-MR and TPCH as batches.
+MR and TPCH as batches.  --shared names the folder that all executors share (as
+spark.checkpoint.dir does), for checkpoints and slices; a cluster needs one.
 """
 
 from __future__ import annotations
@@ -23,9 +24,11 @@ def main(words: list[str] | None = None) -> None:
     parser.add_argument("--seconds", type=int, default=60)
     parser.add_argument("--span", type=int, default=10_000)
     parser.add_argument("--tables")
+    parser.add_argument("--shared")
     parser.add_argument("--batch", action="store_true")
     args = parser.parse_args(words)
-    spark = SparkSession.builder.appName(f"rillmark {args.use_case}").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    builder = SparkSession.builder.appName(f"rillmark {args.use_case}").config("spark.sql.session.timeZone", "UTC")
+    spark = (builder.config("spark.checkpoint.dir", args.shared) if args.shared else builder).getOrCreate()
     settings = Settings(args.rate, args.queries, args.seconds, args.span)
     if args.batch or args.use_case in BATCHES:
         batch(spark, args.use_case, settings, args.tables).show(25, truncate=False)

@@ -1,7 +1,8 @@
 """Scalar functions, and the protocol for functions, aggregates and predicates of one's own.
 
 A function is anything that maps Columns to a Column; built-in expressions stay in
-generated code, and a pandas_udf is the way out where they cannot say it.
+generated code, and a pandas_udf (or, for aggregates, a grouped one) is the way out
+where they cannot say it: it is called with Columns and gives one, like the others.
 """
 
 from __future__ import annotations

@@ -10,31 +10,40 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder name in the storage that all executors share (``spark.checkpoint.dir``).
+_local: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir.
 
     Where the session names none and runs on one machine only (a local master, as in
-    tests), a local temporary folder is set for it; a cluster must name one.  The
-    folder's owner clears it (see clear); what is written here may be read by results
-    that have not run yet.
+    tests), a local temporary folder stands for it; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {master} share")
-        root = "file://" + tempfile.mkdtemp(prefix="rillmark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/rillmark/{uuid.uuid4().hex}"
+    if root:
+        return root.rstrip("/")
+    context = spark.sparkContext
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that the driver and all executors of {context.master} share")
+    if context.applicationId not in _local:
+        _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="rillmark-")
+    return _local[context.applicationId]
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the storage that all executors share.
+
+    The folder's owner clears it (see clear); what is written here may be read by
+    results that have not run yet.
+    """
+    return f"{shared_root(spark)}/rillmark/{uuid.uuid4().hex}"
 
 
 def clear(spark: SparkSession) -> None:
-    """Delete all that was written to scratch folders of spark.checkpoint.dir, once no result needs it any more."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        context = spark.sparkContext
-        path = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/rillmark")
-        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all that was written to scratch folders, once no result needs it any more."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/rillmark")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Rows of a file, where a table's rows are known.

@@ -25,6 +25,7 @@ gives no rows.  Very long texts: n log n in the words of a text.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,20 +116,31 @@ def _vector() -> dict[str, Column]:
     }
 
 
-def _written(groups: DataFrame) -> DataFrame:
-    return materialize(groups.coalesce(GROUP_TASKS))
+class Groups(NamedTuple):
+    """Whether the groups are few enough to be told to all tasks, and how many tasks write a table of them."""
 
+    few: bool
+    tasks: int
 
-def _meet(rows: DataFrame, groups: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    @classmethod
+    def of(cls, n: int, most: int = BROADCAST_GROUPS) -> Groups:
+        return cls(n <= most, max(1, min(GROUP_TASKS, n // 1000)))
+
+
+def _written(groups: DataFrame, tasks: int) -> DataFrame:
+    return materialize(groups.coalesce(tasks))
+
+
+def _meet(rows: DataFrame, groups: DataFrame, on: list[str], known: Groups, how: str = "inner") -> DataFrame:
     """rows joined to a table with a row per group, which is told to all tasks if there are few (some 300 bytes each); else all groups' rows are salted, so that a hot group is dealt."""
-    if few:
+    if known.few:
         return rows.join(F.broadcast(groups), on, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c not in on]), F.lit(SALTS)).cast("int"))
     return salted.join(groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"], how).drop("_salt")
 
 
-def _grouped(table: DataFrame, min_group: int, most: int) -> tuple[DataFrame, bool]:
-    """Adds g, the group whose estimate a document is held against (null where none is large enough), and tells if there are at most `most` groups."""
+def _grouped(table: DataFrame, min_group: int, most: int) -> tuple[DataFrame, Groups]:
+    """Adds g, the group whose estimate a document is held against (null where none is large enough), and tells how many groups there are."""
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     full = table.withColumn("_lang", named("lang")).withColumn("_source", named("source"))
     size = full.groupBy("_lang", "_source").agg(F.count("*").alias("n"))
@@ -144,15 +156,15 @@ def _grouped(table: DataFrame, min_group: int, most: int) -> tuple[DataFrame, bo
         .when(F.col("pool") >= min_group, F.lit("*"))
         .alias("g"),
     )
-    label = _written(label)
-    few = label.count() <= most
-    return _meet(full, label, ["_lang", "_source"], few).drop("_lang", "_source"), few
+    label = _written(label, GROUP_TASKS)
+    known = Groups.of(label.count(), most)
+    return _meet(full, label, ["_lang", "_source"], known).drop("_lang", "_source"), known
 
 
-def _start(x: DataFrame, dims: list[str]) -> DataFrame:
+def _start(x: DataFrame, dims: list[str], tasks: int) -> DataFrame:
     """Per group: median m_<d> and spread s_<d> of each dimension, from histograms in units of 0.02."""
     long = x.select("g", F.explode(F.array(*[F.struct(F.lit(d).alias("d"), F.round(F.col(d) / 20).cast("long").alias("q")) for d in dims])).alias("e"))
-    seen = materialize(long.groupBy("g", "e.d", "e.q").agg(F.count("*").alias("n")).coalesce(2 * GROUP_TASKS))
+    seen = materialize(long.groupBy("g", "e.d", "e.q").agg(F.count("*").alias("n")).coalesce(2 * tasks))
 
     def median(hist: DataFrame, name: str) -> DataFrame:
         w = Window.partitionBy("g", "d").orderBy("q")
@@ -179,7 +191,7 @@ def _moments(x: DataFrame, dims: list[str]) -> DataFrame:
     )
 
 
-def _estimate(moments: DataFrame, dims: list[str]) -> DataFrame:
+def _estimate(moments: DataFrame, dims: list[str], tasks: int) -> DataFrame:
     """Per group: mean m_<d>, the Cholesky factor l_<a>_<b> of the covariance, each variance the square of its floor at least, and logdet, the logarithm of its determinant."""
     mean = lambda d: F.col(f"t_{d}") / F.col("n")
     spread = lambda a, b: (F.col(f"p_{a}_{b}").cast("double") / F.col("n") - mean(a) * mean(b)) * CONSISTENCY
@@ -199,12 +211,12 @@ def _estimate(moments: DataFrame, dims: list[str]) -> DataFrame:
                 rest = rest - F.col(f"l_{a}_{k}") * F.col(f"l_{b}_{k}")
             out = out.withColumn(f"l_{a}_{b}", F.sqrt(F.greatest(rest, F.lit(1e-9))) if a == b else rest / F.col(f"l_{b}_{b}"))
     logdet = 2 * sum((F.log(f"l_{d}_{d}") for d in dims), F.lit(0.0))
-    return _written(out.select("g", logdet.alias("logdet"), *[f"m_{d}" for d in dims], *[f"l_{a}_{b}" for i, a in enumerate(dims) for b in dims[: i + 1]]))
+    return _written(out.select("g", logdet.alias("logdet"), *[f"m_{d}" for d in dims], *[f"l_{a}_{b}" for i, a in enumerate(dims) for b in dims[: i + 1]]), tasks)
 
 
-def _distance(x: DataFrame, estimate: DataFrame, dims: list[str], few: bool) -> DataFrame:
+def _distance(x: DataFrame, estimate: DataFrame, dims: list[str], known: Groups) -> DataFrame:
     """Adds d2, the squared Mahalanobis distance (null where the group has no estimate)."""
-    out = _meet(x, estimate, ["g"], few, "left")
+    out = _meet(x, estimate, ["g"], known, "left")
     for i, a in enumerate(dims):
         rest = F.col(a) - F.col(f"m_{a}")
         for b in dims[:i]:
@@ -213,34 +225,34 @@ def _distance(x: DataFrame, estimate: DataFrame, dims: list[str], few: bool) ->
     return out.withColumn("d2", sum((F.col(f"z_{d}") * F.col(f"z_{d}") for d in dims), F.lit(0.0))).select(*x.columns, "d2")
 
 
-def _nearest(x: DataFrame, share: float, few: bool) -> DataFrame:
+def _nearest(x: DataFrame, share: float, known: Groups) -> DataFrame:
     """The rows of x within their group's quantile of d2, by a histogram of logarithmic bins (its last bin whole)."""
     binned = x.withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-3) * BINS).cast("int"))
     hist = binned.groupBy("g", "bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy("g").orderBy("bin")
     hist = hist.withColumn("c", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
     most = hist.filter(F.col("c") >= F.col("all") * share).groupBy("g").agg(F.min("bin").alias("most"))
-    return _meet(binned, _written(most), ["g"], few).filter(F.col("bin") <= F.col("most"))
+    return _meet(binned, _written(most, known.tasks), ["g"], known).filter(F.col("bin") <= F.col("most"))
 
 
-def robust_estimates(fit: DataFrame, dims: list[str], *, support: float = SUPPORT, steps: int = STEPS, few: bool = True) -> DataFrame:
+def robust_estimates(fit: DataFrame, dims: list[str], *, support: float = SUPPORT, steps: int = STEPS, known: Groups = Groups(True, 1)) -> DataFrame:
     """Per group g of fit (g and the statistics): the minimum covariance determinant's mean m_<d>, factor l_<a>_<b> and logdet."""
     own = lambda start: F.concat("g", F.lit(f"\t{start}"))
     medians, whole = (fit.withColumn("g", own(start)) for start in range(STARTS))
-    at = _written(_start(fit, dims)).withColumn("g", own(0))
+    at = _written(_start(fit, dims, known.tasks), known.tasks).withColumn("g", own(0))
     near = sum((((F.col(d) - F.col(f"m_{d}")) / F.col(f"s_{d}")) ** 2 for d in dims), F.lit(0.0))
-    first = _meet(medians, at, ["g"], few).select("g", *dims, near.alias("d2"))
-    first = first.unionByName(_distance(whole, _estimate(_moments(whole, dims), dims), dims, few))
+    first = _meet(medians, at, ["g"], known).select("g", *dims, near.alias("d2"))
+    first = first.unionByName(_distance(whole, _estimate(_moments(whole, dims), dims, known.tasks), dims, known))
     both = medians.unionByName(whole)
-    estimate = _estimate(_moments(_nearest(first, support, few), dims), dims)
+    estimate = _estimate(_moments(_nearest(first, support, known), dims), dims, known.tasks)
     for _ in range(steps):
-        before, estimate = estimate, _estimate(_moments(_nearest(_distance(both, estimate, dims, few), support, few), dims), dims)
+        before, estimate = estimate, _estimate(_moments(_nearest(_distance(both, estimate, dims, known), support, known), dims), dims, known.tasks)
         change = before.select("g", F.col("logdet").alias("before")).join(estimate.select("g", "logdet"), "g")
         if (change.agg(F.max(F.col("before") - F.col("logdet"))).first()[0] or 0.0) < FALL:
             break
     group = F.expr("left(g, length(g) - 2)").alias("g")
     least = estimate.groupBy(group).agg(F.min_by(F.struct(*[c for c in estimate.columns if c != "g"]), F.struct("logdet", "g")).alias("best"))
-    return _written(least.select("g", "best.*"))
+    return _written(least.select("g", "best.*"), known.tasks)
 
 
 def judge(
@@ -267,10 +279,10 @@ def judge(
     vector = [F.round(c * UNIT).cast("long").alias(d) for d, c in _vector().items()]
     table = materialize(table.select("*", failed.alias("base_failed"), *vector))
     dims = list(STATISTICS)
-    x, few = _grouped(table, min_group, broadcast_groups)
+    x, known = _grouped(table, min_group, broadcast_groups)
     # documents that fail the base rules do not shape the estimates
     fit = materialize(x.filter(~F.col("base_failed") & F.col("g").isNotNull()).select("g", *dims))
-    seen = _distance(x, robust_estimates(fit, dims, support=support, steps=steps, few=few), dims, few)
+    seen = _distance(x, robust_estimates(fit, dims, support=support, steps=steps, known=known), dims, known)
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= cutoff)
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return seen.select(*columns, F.col("d2").alias("distance"), kept.alias("kept"), *extra)

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,15 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table that `materialize` gave, once nothing that still has to run reads it."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(_tables.pop(table))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Folders of the written tables that are still in use by their frames.
+_tables: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 #: Rows of a file, where a table's rows are known.
 FILE_ROWS = 100_000
 
@@ -61,7 +71,9 @@ def materialize(df: DataFrame, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _tables[table] = path
+    return table
 
 
 _shipped: set[str] = set()

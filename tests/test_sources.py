@@ -72,6 +72,10 @@ def test_storage_wants_a_shared_folder_on_clusters():
 def test_scratch_is_cleared(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_root", lambda _: str(tmp_path))
     assert storage.materialize(spark.range(5)).count() == 5
+    spent = storage.materialize(spark.range(5))
+    kept = storage.materialize(spent)
+    storage.drop(spent)
+    assert kept.count() == 5 and len(list((tmp_path / "rillmark").iterdir())) == 2
     assert (tmp_path / "rillmark").exists()
     storage.clear(spark)
     assert not (tmp_path / "rillmark").exists()

@@ -30,7 +30,7 @@ def pieces(text):
 
 
 def plain(rows):
-    """{id: (pieces removed, words removed, first holders, kept text)}: every run against every other."""
+    """{id: (pieces removed, words removed, first holders, kept text)}: every run against every other, and every window of a passage's length."""
     parted = {i: pieces(t or "") for i, t in rows}
     seen: dict = {}
     for i, own in parted.items():
@@ -42,6 +42,18 @@ def plain(rows):
             spans |= ({(k, onward)} if onward is not None else set()) | ({(back, k)} if back is not None else set())
         for a, b in spans:
             seen.setdefault(tuple(w for *_, ws in own[a : b + 1] for w in ws), []).append((i, a, b))
+    flat = {i: [w for *_, ws in own for w in ws] for i, own in parted.items()}
+    earliest: dict = {}
+    for i, words in flat.items():
+        for k in range(len(words) - s.PASSAGE + 1):
+            window = tuple(words[k : k + s.PASSAGE])
+            earliest[window] = min(i, earliest.get(window, i))
+
+    def sure(i, a, b):
+        """Whether an earlier document holds a window that has LEAST_WORDS of the words a to b."""
+        windows = [tuple(flat[i][k : k + s.PASSAGE]) for k in range(max(0, a + s.LEAST_WORDS - s.PASSAGE), min(b - s.LEAST_WORDS, len(flat[i]) - s.PASSAGE) + 1)]
+        return any(earliest[w] != i for w in windows)
+
     later = {i: [] for i, _ in rows}
     for places in seen.values():
         first = min(p[0] for p in places)
@@ -57,7 +69,9 @@ def plain(rows):
             if k in covered:
                 row.append(k)
             else:
-                if sum(len(own[j][2]) for j in row) >= s.LEAST_WORDS:
+                a = sum(len(own[j][2]) for j in range(row[0])) if row else 0
+                b = a + sum(len(own[j][2]) for j in row)
+                if b - a >= s.PASSAGE or b - a >= s.LEAST_WORDS and sure(i, a, b):
                     gone |= set(row)
                 row = []
         kept = text[: own[0][0] if own else len(text)] + "".join(text[a:b] for k, (a, b, _) in enumerate(own) if k not in gone)
@@ -107,7 +121,7 @@ def shared_removed(before, passage_words, after, kept):
 
 def test_any_shared_passage_of_51_words_goes_up_to_its_ragged_ends(make_docs):
     rng = random.Random(9)
-    least = s.RUN_WORDS + 3 * s.PIECE + 1
+    least = s.PASSAGE
     assert least == 51
 
     def prose(name, n, marks):
@@ -126,6 +140,26 @@ def test_any_shared_passage_of_51_words_goes_up_to_its_ragged_ends(make_docs):
         assert shared_removed(before, whole, after, found[2 * c + 1]["text"]) >= least - 2 * s.PIECE - 2 == s.LEAST_WORDS
 
 
+@pytest.mark.parametrize("told", [s.TOLD, 0])
+def test_short_stretches_go_only_within_shared_passages(make_docs, told, monkeypatch):
+    monkeypatch.setattr(s, "TOLD", told)
+    rng = random.Random(5)
+    rows, passages = [], {}
+    for c in range(200):
+        n = 26 + c % 50
+        whole = [f"p{c}q{rng.randrange(400)}" for _ in range(n)]
+        for k in (0, 1, 2):
+            # the third holds the middle only
+            inner = whole if k < 2 else whole[5:-5]
+            ends = [[f"h{c}x{k}y{rng.randrange(10**6)}" for _ in range(rng.randrange(30))] for _ in (0, 1)]
+            rows.append((3 * c + k, " ".join(ends[0] + inner + ends[1])))
+            passages[3 * c + k] = len(inner) if k else 0
+    rows += [(1000 + i, "la " * (20 + 7 * i)) for i in range(8)]
+    found = {r["doc_id"]: r for r in s.span_dedup(make_docs(rows + rows[-3:])).collect()}
+    assert shown(found.values()) == plain(rows)
+    assert all((found[i]["n_removed"] > 0) == (n >= s.PASSAGE) for i, n in passages.items())
+
+
 @pytest.mark.parametrize("least", [10_000, 5])
 def test_hot_runs_and_hot_rows(make_docs, least, monkeypatch):
     from rillmark.llm import common
@@ -139,6 +173,10 @@ def test_hot_runs_and_hot_rows(make_docs, least, monkeypatch):
 
 
 def test_odd_texts_and_empty_table(make_docs, odd_texts):
+    # texts shorter than a passage stay, whatever they share
+    assert {r["n_removed"] for r in s.span_dedup(make_docs([r for r in odd_texts if len((r[1] or "").split()) < s.PASSAGE])).collect()} == {0}
+    same = odd_texts[3][1]
+    odd_texts = [(i, f"{same}\n{same} Then." if t == same else t, *more) for i, t, *more in odd_texts]
     docs = make_docs(odd_texts)
     found = s.span_dedup(docs).collect()
     assert len(found) == len(odd_texts)
